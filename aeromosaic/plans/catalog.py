@@ -1,8 +1,8 @@
 """All registered queries and their check SQL."""
 
-from aeromosaic.plans import match_queries
+from aeromosaic.plans import match_queries, transform_queries
 
-_PARTS = [match_queries]
+_PARTS = [match_queries, transform_queries]
 
 QUERIES = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -31,7 +31,7 @@ def pair_best(spark, sf_dir):
 
 
 def _hops(spark, sf_dir):
-    return ch.next_hops(settle(pair_best(spark, sf_dir)), wl.MIN_MATCHES, wl.WINDOW)
+    return ch.next_hops(pair_best(spark, sf_dir), wl.MIN_MATCHES, wl.WINDOW)
 
 
 def walks(spark, sf_dir, revisit=False):
@@ -152,7 +152,7 @@ best AS (
     SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY score DESC, detector) AS place
     FROM scores) USING (i, j)
   WHERE coalesce(place, 1) = 1),
-hops AS (SELECT i, min(j) AS j FROM best WHERE n_matches >= 4 GROUP BY i),
+hops AS (SELECT i, min(j) AS j FROM best WHERE n_matches >= 7 GROUP BY i),
 roots AS (SELECT frame_idx FROM frames WHERE frame_idx NOT IN (SELECT j FROM hops)),
 walk AS (
   SELECT frame_idx AS strip_id, 0 AS pos, frame_idx FROM roots
@@ -226,10 +226,10 @@ ORACLES = {
     "m10_match_report": _sql(
         _KNN,
         """SELECT i, j, CASE WHEN grouping(i) = 1 THEN 'TOTAL'
-             WHEN sum(CAST(n_matches >= 4 AS INT)) > 0 THEN 'VALID'
+             WHEN sum(CAST(n_matches >= 7 AS INT)) > 0 THEN 'VALID'
              ELSE 'INSUFFICIENT' END AS verdict,
            CAST(sum(n_matches) AS BIGINT) AS n_matches,
-           CAST(sum(CAST(n_matches >= 4 AS INT)) AS BIGINT) AS valid_pairs, count(*) AS n_pairs
+           CAST(sum(CAST(n_matches >= 7 AS INT)) AS BIGINT) AS valid_pairs, count(*) AS n_pairs
          FROM best GROUP BY GROUPING SETS ((i, j), ())""",
     ),
     "c1_next_hops": _sql(_KNN, "SELECT i, j FROM hops"),
@@ -241,7 +241,7 @@ ORACLES = {
         """SELECT a.strip_id, a.pos, a.frame_idx AS i, b.frame_idx AS j, detector, n_matches,
                   n_matches IS NULL AS broken
            FROM owned a JOIN owned b ON a.strip_id = b.strip_id AND b.pos = a.pos + 1
-           LEFT JOIN (SELECT * FROM best WHERE n_matches >= 4) m
+           LEFT JOIN (SELECT * FROM best WHERE n_matches >= 7) m
              ON m.i = a.frame_idx AND m.j = b.frame_idx""",
     ),
     "c5_chain_rows": _sql(

@@ -7,8 +7,10 @@ SQL constants beside them say the same in the dialect of the check engine.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aeromosaic.functions.ordering import running_sum
+
 # Fixed parameters of the derived inputs.
-RATIO, MIN_MATCHES, WINDOW = 0.95, 4, 3
+RATIO, MIN_MATCHES, WINDOW = 0.95, 7, 3
 PER_FRAME = 50
 SCENE_WIDTH = 100
 
@@ -74,3 +76,102 @@ def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keypoint_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = F.floor(F.col("vec_id") / PER_FRAME).cast("int").alias("frame_idx")
     return read(spark, sf_dir, "embeddings").select(frame).distinct()
+
+
+# --- correspondences: the lines of a supplier are the matched points of one pair ---
+
+CORRESPONDENCES_SQL = """
+base AS (
+  SELECT CAST(l_suppkey AS INT) AS i, CAST(l_suppkey + 1 AS INT) AS j,
+         (l_orderkey * 10 + l_linenumber) * 1000003 + l_partkey AS m,
+         l_partkey % 600 AS sx, (l_orderkey * 7) % 450 AS sy
+  FROM lineitem),
+corr AS (
+  SELECT i, j, m, CAST(sx AS DOUBLE) AS sx, CAST(sy AS DOUBLE) AS sy,
+         CAST(CASE WHEN (m * 7 + i) % 10 < 3 THEN (sx * 13 + m % 1000 * 29) % 600
+              ELSE sx + i % 7 * 20 - 35 END AS DOUBLE) AS dx,
+         CAST(CASE WHEN (m * 7 + i) % 10 < 3 THEN (sy * 11 + m % 1000 * 31) % 450
+              ELSE sy + i % 5 * 3 END AS DOUBLE) AS dy
+  FROM base)
+"""
+
+
+def line_correspondences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = read(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("int").alias("i"),
+        (F.col("l_suppkey") + 1).cast("int").alias("j"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000003 + F.col("l_partkey")).alias("m"),
+        (F.col("l_partkey") % 600).alias("sx"),
+        (F.col("l_orderkey") * 7 % 450).alias("sy"),
+    )
+    i, m, sx, sy = (F.col(c) for c in ("i", "m", "sx", "sy"))
+    stray = (m * 7 + i) % 10 < 3
+    dx = F.when(stray, (sx * 13 + m % 1000 * 29) % 600).otherwise(sx + i % 7 * 20 - 35)
+    dy = F.when(stray, (sy * 11 + m % 1000 * 31) % 450).otherwise(sy + i % 5 * 3)
+    return base.select(
+        "i", "j", "m", *[c.cast("double").alias(n) for c, n in zip((sx, sy, dx, dy), ("sx", "sy", "dx", "dy"))]
+    )
+
+
+# --- links: the events of a user are the links of one strip ---
+
+LINKS_SQL = """
+links AS (
+  SELECT CAST(user_id AS INT) AS strip_id,
+         CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS pos,
+         CAST(event_id AS INT) AS i, CAST(event_id + 1 AS INT) AS j,
+         CAST(event_id % 13 - 6 AS INT) AS dx, CAST(event_id % 7 - 3 AS INT) AS dy,
+         event_id % 23 = 0 AS broken
+  FROM events)
+"""
+
+
+def event_links(spark: SparkSession, sf_dir: str, breaks: bool = True) -> DataFrame:
+    """Shift links with a null transform where broken."""
+    event = F.col("event_id")
+    rows = read(spark, sf_dir, "events").select(
+        F.col("user_id").cast("int").alias("strip_id"),
+        "event_id",
+        (event % 13 - 6).cast("int").alias("dx"),
+        (event % 7 - 3).cast("int").alias("dy"),
+    )
+    placed = running_sum(rows, ["strip_id"], "event_id", {"nth": F.lit(1)})
+    one, zero = F.lit(1.0), F.lit(0.0)
+    dx, dy = F.col("dx").cast("double"), F.col("dy").cast("double")
+    h = F.array(one, zero, dx, zero, one, dy, zero, zero, one)
+    return placed.select(
+        "strip_id",
+        (F.col("nth") - 1).cast("int").alias("pos"),
+        event.cast("int").alias("i"),
+        (event + 1).cast("int").alias("j"),
+        "dx",
+        "dy",
+        (F.when(event % 23 != 0, h) if breaks else h).alias("h"),
+    )
+
+
+# --- candidates: two gated models per supplier ---
+
+CANDIDATES_SQL = """
+cand AS (
+  SELECT CAST(s_suppkey AS INT) AS i, CAST(s_suppkey + 1 AS INT) AS j,
+         s_suppkey % 41 AS h_inl, CAST((s_suppkey * 997) % 20000 AS DOUBLE) AS h_spread,
+         (s_suppkey * 7) % 43 AS a_inl, CAST((s_suppkey * 613) % 21000 AS DOUBLE) AS a_spread
+  FROM supplier)
+"""
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    key = F.col("s_suppkey")
+    base = read(spark, sf_dir, "supplier")
+
+    def model(n_inliers, spread):
+        return base.select(
+            key.cast("int").alias("i"),
+            (key + 1).cast("int").alias("j"),
+            F.array(*[F.lit(float(k % 4 == 0)) for k in range(9)]).alias("h"),
+            n_inliers.alias("n_inliers"),
+            spread.cast("double").alias("spread"),
+        )
+
+    return model(key % 41, key * 997 % 20000), model(key * 7 % 43, key * 613 % 21000)
