@@ -25,9 +25,13 @@ def scaled(h: Column) -> Column:
 
 
 def apply_transform(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
-    """Image of (x, y), with the perspective divide."""
+    """Image of (x, y), with the perspective divide; points at infinity go to 0."""
     depth = h[6] * x + h[7] * y + h[8]
-    return (h[0] * x + h[1] * y + h[2]) / depth, (h[3] * x + h[4] * y + h[5]) / depth
+
+    def divided(value):
+        return F.when(depth != 0, value / depth).otherwise(F.lit(0.0))
+
+    return divided(h[0] * x + h[1] * y + h[2]), divided(h[3] * x + h[4] * y + h[5])
 
 
 def squared_error(h: Column, sx: Column, sy: Column, dx: Column, dy: Column) -> Column:

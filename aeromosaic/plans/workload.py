@@ -4,10 +4,13 @@ Each function reads whole tables and gives one of the layouts of schemas.py; the
 SQL constants beside them say the same in the dialect of the check engine.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeromosaic.functions.ordering import running_sum
+from aeromosaic.schemas import FRAMES, MOSAIC
 
 # Fixed parameters of the derived inputs.
 RATIO, MIN_MATCHES, WINDOW = 0.95, 7, 3
@@ -175,3 +178,168 @@ def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         )
 
     return model(key % 41, key * 997 % 20000), model(key * 7 % 43, key * 613 % 21000)
+
+
+# --- scene: every order is one pixel; frames are overlapping windows of it ---
+
+SCENE_SQL = """
+px AS (
+  SELECT CAST(o_orderkey % 100 AS INT) AS x, CAST(o_orderkey // 100 AS INT) AS y,
+         CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) % 256 AS INT) AS b,
+         CAST(sum(o_custkey * 7 + o_orderkey * 13) % 256 AS INT) AS g,
+         CAST(sum(CAST(floor(o_totalprice) AS BIGINT) // 256) % 256 AS INT) AS r
+  FROM orders GROUP BY 1, 2),
+size AS (SELECT 100 AS width, max(y) + 1 AS height FROM px),
+cell AS (
+  SELECT CAST(u.x AS INT) AS x, CAST(v.y AS INT) AS y, coalesce(b, 0) AS b,
+         coalesce(g, 0) AS g, coalesce(r, 0) AS r
+  FROM (SELECT unnest(range(100)) AS x) u
+  CROSS JOIN (SELECT unnest(range((SELECT height FROM size))) AS y) v
+  LEFT JOIN px ON px.x = u.x AND px.y = v.y)
+"""
+
+FRAMES_SQL = (
+    SCENE_SQL
+    + """,
+fpx AS (
+  SELECT f, x - f * 3 % 20 AS x, y - 24 * f AS y, least(255, b + 3 * (f % 9)) AS b,
+         least(255, g + 2 * (f % 5)) AS g, r
+  FROM (SELECT *, y // 24 - k AS f FROM cell CROSS JOIN (SELECT unnest([0, 1]) AS k))
+  WHERE f >= 0 AND y - 24 * f < 40 AND x >= f * 3 % 20 AND x < f * 3 % 20 + 80),
+fsize AS (SELECT f, 80 AS width, max(y) + 1 AS height FROM fpx GROUP BY f),
+pose AS (SELECT f, f * 3 % 20 AS dx, 24 * f AS dy FROM fsize)
+"""
+)
+FRAME_STEP, FRAME_WIDTH, FRAME_HEIGHT = 24, 80, 40
+
+
+def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long-form pixels (x, y, b, g, r)."""
+    key, price = F.col("o_orderkey"), F.floor("o_totalprice")
+    channel = {
+        "b": F.sum(price) % 256,
+        "g": F.sum(F.col("o_custkey") * 7 + key * 13) % 256,
+        "r": F.sum(F.floor(price / 256)) % 256,
+    }
+    return (
+        read(spark, sf_dir, "orders")
+        .groupBy(
+            (key % SCENE_WIDTH).cast("int").alias("x"),
+            F.floor(key / SCENE_WIDTH).cast("int").alias("y"),
+        )
+        .agg(*[v.cast("int").alias(n) for n, v in channel.items()])
+    )
+
+
+def _painted(size_columns, key_columns, schema, ddl, out):
+    """Group function: pixels (lx, ly, b, g, r) of one raster onto w x h."""
+
+    def paint(table: pa.Table) -> pa.Table:
+        first = {c: table.column(c)[0].as_py() for c in [*key_columns, *size_columns]}
+        w, h = (first[c] for c in size_columns)
+        image = np.zeros((h, w, 3), dtype=np.uint8)
+        lx, ly = (table.column(c).to_numpy() for c in ("lx", "ly"))
+        for k, c in enumerate("bgr"):
+            image[ly, lx, k] = table.column(c).to_numpy()
+        return pa.Table.from_pylist([out(first, image)], schema=schema)
+
+    return paint
+
+
+def scene_mosaic(spark: SparkSession, sf_dir: str, size: int = 64) -> DataFrame:
+    """The scene as one mosaic of canvas tiles (a tile is the group, so groups are bounded)."""
+    px = scene(spark, sf_dir)
+    last = px.agg(F.max("y")).scalar()
+    width, height = F.lit(SCENE_WIDTH), F.col("height")
+    grid = (
+        spark.range(1)
+        .select(F.lit(0).alias("strip_id"), (last + 1).alias("height"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.floor((height - 1) / size).cast("int"))).alias("ty"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit((SCENE_WIDTH - 1) // size))).alias("tx"))
+        .select(
+            "strip_id", "tx", "ty", (F.col("tx") * size).alias("x0"), (F.col("ty") * size).alias("y0"),
+            width.cast("int").alias("width"), height.cast("int").alias("height"),
+        )
+        .withColumn("w", F.least(F.lit(size), F.col("width") - F.col("x0")).cast("int"))
+        .withColumn("h", F.least(F.lit(size), F.col("height") - F.col("y0")).cast("int"))
+    )
+    placed = px.select(
+        F.floor(F.col("x") / size).cast("int").alias("tx"),
+        F.floor(F.col("y") / size).cast("int").alias("ty"),
+        (F.col("x") % size).alias("lx"),
+        (F.col("y") % size).alias("ly"),
+        "b", "g", "r",
+    )
+    keys = ["strip_id", "tx", "ty", "x0", "y0", "width", "height"]
+
+    def out(first, image):
+        seen = np.ones(image.shape[:2], dtype=np.uint8).tobytes()
+        return {**first, "bgr": image.tobytes(), "covered": seen}
+
+    schema = pa.schema(
+        [(f.split()[0], pa.binary() if f.endswith("binary") else pa.int32()) for f in MOSAIC.split(", ")]
+    )
+    paint = _painted(["w", "h"], keys, schema, MOSAIC, out)
+    return grid.join(placed, ["tx", "ty"]).groupBy("tx", "ty").applyInArrow(paint, MOSAIC)
+
+
+def scene_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping windows of the scene, each a little brighter than the last."""
+    px = scene(spark, sf_dir)
+    f, x, y = F.col("f"), F.col("x"), F.col("y")
+    shift = f * 3 % 20
+    seen = (
+        px.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+        .withColumn("f", (F.floor(y / FRAME_STEP) - F.col("k")).cast("int"))
+        .where((f >= 0) & (y - FRAME_STEP * f < FRAME_HEIGHT) & (x >= shift) & (x < shift + FRAME_WIDTH))
+        .select(
+            f.alias("frame_idx"),
+            (x - shift).cast("int").alias("lx"),
+            (y - FRAME_STEP * f).cast("int").alias("ly"),
+            F.least(F.lit(255), F.col("b") + 3 * (f % 9)).alias("b"),
+            F.least(F.lit(255), F.col("g") + 2 * (f % 5)).alias("g"),
+            "r",
+        )
+    )
+    sized = seen.groupBy("frame_idx").agg((F.max("ly") + 1).alias("height")).select(
+        "frame_idx", F.lit(FRAME_WIDTH).alias("width"), "height"
+    )
+
+    def out(first, image):
+        return {
+            **first, "name": f"window-{first['frame_idx']}", "n_channels": 3, "scale": 1.0,
+            "pixels": image.tobytes(),
+        }
+
+    schema = pa.schema(
+        [("frame_idx", pa.int32()), ("name", pa.string()), ("height", pa.int32())]
+        + [("width", pa.int32()), ("n_channels", pa.int32()), ("scale", pa.float64())]
+        + [("pixels", pa.binary())]
+    )
+    paint = _painted(["width", "height"], ["frame_idx"], schema, FRAMES, out)
+    return seen.join(sized, "frame_idx").groupBy("frame_idx").applyInArrow(paint, FRAMES)
+
+
+def scene_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each window lies: pure shifts."""
+    f = F.col("frame_idx")
+    y = F.floor(F.floor(F.col("o_orderkey") / SCENE_WIDTH) / FRAME_STEP).cast("int")
+    frames = read(spark, sf_dir, "orders").select(y.alias("frame_idx")).distinct()
+    one, zero = F.lit(1.0), F.lit(0.0)
+    h = F.array(
+        one, zero, (f * 3 % 20).cast("double"),
+        zero, one, (f * FRAME_STEP).cast("double"),
+        zero, zero, one,
+    )
+    return frames.select(F.lit(0).alias("strip_id"), f.alias("pos"), "frame_idx", h.alias("h"))
+
+
+# --- file names ---
+
+# Name endings dealt out to pages.
+ENDINGS = (".jpg", ".PNG", ".txt", ".TIFF", ".gif")
+NAMES_SQL = """
+names AS (
+  SELECT page_id, concat('IMG_', page_id, ['.jpg', '.PNG', '.txt', '.TIFF', '.gif'][page_id % 5 + 1]) AS name
+  FROM pages)
+"""
