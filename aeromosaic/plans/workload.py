@@ -17,6 +17,9 @@ RATIO, MIN_MATCHES, WINDOW = 0.95, 7, 3
 PER_FRAME = 50
 SCENE_WIDTH = 100
 
+# Kinds of events.
+EVENT_TYPES = ("view", "click", "signup", "purchase", "error")
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -343,3 +346,56 @@ names AS (
   SELECT page_id, concat('IMG_', page_id, ['.jpg', '.PNG', '.txt', '.TIFF', '.gif'][page_id % 5 + 1]) AS name
   FROM pages)
 """
+
+
+# --- flight: every order is a block of the ground, frames are flown over it ---
+
+BLOCK_PX, GROUND_BLOCKS = 4, 40
+FLIGHT_WIDTH, FLIGHT_HEIGHT, FLIGHT_STEP = 128, 120, 48
+
+
+def flight_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flight line with 60 % overlap and a little sideways drift over a ground of blocks."""
+    key, price = F.col("o_orderkey"), F.floor("o_totalprice")
+    ground = (
+        read(spark, sf_dir, "orders")
+        .groupBy(
+            (key % GROUND_BLOCKS).cast("int").alias("cx"),
+            F.floor(key / GROUND_BLOCKS).cast("int").alias("cy"),
+        )
+        .agg(
+            (F.sum(price) % 256).cast("int").alias("b"),
+            (F.sum(price + key) % 256).cast("int").alias("g"),
+            (F.sum(F.floor(price / 3)) % 256).cast("int").alias("r"),
+        )
+    )
+    step, rows = FLIGHT_STEP // BLOCK_PX, FLIGHT_HEIGHT // BLOCK_PX
+    f, cy = F.col("f"), F.col("cy")
+    seen = (
+        ground.select("*", F.explode(F.sequence(F.lit(0), F.lit(rows // step))).alias("k"))
+        .withColumn("f", (F.floor(cy / step) - F.col("k")).cast("int"))
+        .where((f >= 0) & (cy - step * f < rows))
+        .select(f.alias("frame_idx"), "cx", (cy - step * f).alias("row"), "b", "g", "r")
+    )
+    schema = pa.schema(
+        [("frame_idx", pa.int32()), ("name", pa.string()), ("height", pa.int32())]
+        + [("width", pa.int32()), ("n_channels", pa.int32()), ("scale", pa.float64())]
+        + [("pixels", pa.binary())]
+    )
+
+    def paint(table: pa.Table) -> pa.Table:
+        frame = table.column("frame_idx")[0].as_py()
+        x, y = table.column("cx").to_numpy(), table.column("row").to_numpy()
+        blocks = np.zeros((y.max() + 1, GROUND_BLOCKS, 3), dtype=np.uint8)
+        for k, c in enumerate("bgr"):
+            blocks[y, x, k] = table.column(c).to_numpy()
+        whole = np.kron(blocks, np.ones((BLOCK_PX, BLOCK_PX, 1), dtype=np.uint8))
+        drift = frame * 5 % 17
+        image = np.ascontiguousarray(whole[:, drift : drift + FLIGHT_WIDTH])
+        row = {
+            "frame_idx": frame, "name": f"flight-{frame}", "height": image.shape[0],
+            "width": FLIGHT_WIDTH, "n_channels": 3, "scale": 1.0, "pixels": image.tobytes(),
+        }
+        return pa.Table.from_pylist([row], schema=schema)
+
+    return seen.groupBy("frame_idx").applyInArrow(paint, FRAMES)
