@@ -24,7 +24,7 @@ def _unpack(words: np.ndarray) -> np.ndarray:
 
 def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     signs_a, signs_b = _unpack(a), _unpack(b)
-    return ((signs_a.shape[1] - signs_a @ signs_b.T) / 2).astype(np.float64)
+    return (signs_a.shape[1] - signs_a @ signs_b.T) / 2  # whole numbers, exact in float32
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -37,7 +37,13 @@ def two_nearest(table: np.ndarray, ids: np.ndarray, refine, slack: float):
     ``table`` may be off by ``slack``: everything within it of the second value is
     measured again by ``refine``, so the order is exact. Ties go to the lower id.
     """
-    second = np.partition(table, 1, axis=1)[:, 1] if table.shape[1] > 1 else table[:, 0]
+    every = np.arange(len(table))
+    first = table.argmin(1)
+    second = table[every, first]
+    if table.shape[1] > 1:
+        table[every, first] = np.inf
+        least, second = second, table.min(1)
+        table[every, first] = least
     rows, cols = np.nonzero(table <= (second + slack)[:, None])
     exact = refine(rows, cols)
     order = np.lexsort((ids[cols], exact, rows))
@@ -57,7 +63,7 @@ def nearest_both_ways(q_ids, q, t_ids, t, binary: bool):
         table, slack = _hamming(q, t), 0.0
 
         def measure(rows, cols):
-            return table[rows, cols]
+            return table[rows, cols].astype(np.float64)
     else:
         q, t = q.astype(np.float64), t.astype(np.float64)
         table = _squares(q, t)
@@ -72,5 +78,5 @@ def nearest_both_ways(q_ids, q, t_ids, t, binary: bool):
 
     rows, cols, exact = two_nearest(table, t_ids, measure, slack)
     yield 0, q_ids[rows], t_ids[cols], exact
-    rows, cols, exact = two_nearest(table.T, q_ids, lambda r, c: measure(c, r), slack)
+    rows, cols, exact = two_nearest(np.ascontiguousarray(table.T), q_ids, lambda r, c: measure(c, r), slack)
     yield 1, t_ids[rows], q_ids[cols], exact

@@ -19,9 +19,14 @@ def matmul(a: Column, b: Column) -> Column:
     )
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def scaled(h: Column) -> Column:
     """The same projective map with its last entry 1."""
-    return F.transform(h, lambda v: v / h[8])
+    return bound(h, lambda m: F.transform(m, lambda v: v / m[8]))
 
 
 def apply_transform(h: Column, x: Column, y: Column) -> tuple[Column, Column]:

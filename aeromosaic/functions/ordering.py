@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Rows of one key that a single window task may hold in running_sum.
@@ -34,6 +34,23 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_marked(df: DataFrame, *marks: Column) -> tuple[DataFrame, tuple]:
+    """settle, with aggregates of the rows observed on the way (for loops that test for an end)."""
+    seen = Observation()
+    table = settle(df.observe(seen, *[m.alias(f"m{k}") for k, m in enumerate(marks)]))
+    return table, tuple(seen.get[f"m{k}"] for k in range(len(marks)))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash the rows to the session's number of shuffle partitions, all of which are kept.
+
+    For steps that take long per byte: adaptive execution would merge their small
+    partitions into few tasks. A join or grouping on the same keys reuses it.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys)
+
+
 def number_rows(df: DataFrame, order: list, out: str) -> DataFrame:
     """Number the rows 0, 1, 2, ... in the given order with a distributed sort.
 

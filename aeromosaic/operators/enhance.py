@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeromosaic.functions import filters
+from aeromosaic.functions.ordering import spread
 from aeromosaic.functions.raster import as_image, per_row
 from aeromosaic.schemas import MOSAIC
 
@@ -102,7 +103,7 @@ def stencil(mosaic: DataFrame, r: int, steps: dict) -> DataFrame:
         return pa.Table.from_pylist(done, schema=schema)
 
     pieces = mosaic.mapInArrow(per_row(_pieces(r), _PIECE), _PIECE_DDL)
-    return pieces.groupBy(*_TILE).applyInArrow(run, MOSAIC + ", variant string")
+    return spread(pieces, *_TILE).groupBy(*_TILE).applyInArrow(run, MOSAIC + ", variant string")
 
 
 def _one(mosaic, need, function):
@@ -235,9 +236,9 @@ def clahe_tables(histograms: DataFrame, clip: float = 2.0) -> DataFrame:
     rest = F.col("excess") % 256
     step = F.greatest(F.floor(F.lit(256) / F.greatest(rest, F.lit(1))), F.lit(1))
     extra = F.when((level % step == 0) & (F.floor(level / step) < rest), 1).otherwise(0)
-    spread = F.least(n, F.col("limit")) + F.floor(F.col("excess") / 256) + extra
+    given = F.least(n, F.col("limit")) + F.floor(F.col("excess") / 256) + extra
     below = Window.partitionBy(*cell).orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(spread).over(below)
+    total = F.sum(given).over(below)
     value = F.least(F.bround(total * 255 / F.col("area"), 0), F.lit(255)).cast("int")
     return clipped.select(*cell, "level", value.alias("value"))
 

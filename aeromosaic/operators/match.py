@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeromosaic.functions.distance import nearest_both_ways
+from aeromosaic.functions.ordering import spread
 from aeromosaic.schemas import NEAREST
 
 BLOCK = 2048
@@ -111,12 +112,13 @@ def block_nearest(pairs: DataFrame, kps: DataFrame, size: int = BLOCK) -> DataFr
         names = {"ids": f"{prefix}_ids", "descriptor": f"{prefix}_desc", "bits": f"{prefix}_bits"}
         return side(blocks, frame, block).withColumnsRenamed(names)
 
-    tasks = (
+    queries = (
         wanted.join(side(numbers, "i", "q_block"), ["i", "detector"])
         .join(side(numbers, "j", "t_block"), ["j", "detector"])
         .join(packed("i", "q_block", "q"), ["i", "detector", "q_block"])
-        .join(packed("j", "t_block", "t"), ["j", "detector", "t_block"])
     )
+    target = ["j", "detector", "t_block"]
+    tasks = spread(queries, *target).join(packed("j", "t_block", "t"), target)
     cells = [*_PAIR, "q_ids", "q_desc", "q_bits", "t_ids", "t_desc", "t_bits"]
     return tasks.select(*cells).mapInArrow(_nearest_in_blocks, NEAREST)
 

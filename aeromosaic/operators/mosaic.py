@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeromosaic.functions.geometry import apply_transform, matmul
-from aeromosaic.functions.ordering import settle
+from aeromosaic.functions.ordering import settle, settle_marked, spread
 from aeromosaic.functions.raster import as_image, bilinear, label_regions, per_row
 
 TILE = 512
@@ -44,9 +44,9 @@ def footprints(frames: DataFrame, poses: DataFrame) -> DataFrame:
     posed = frames.select("frame_idx", "width", "height").join(
         poses.where(F.col("h").isNotNull()).select("strip_id", "frame_idx", "h"), "frame_idx"
     )
-    spread = posed.select("strip_id", "frame_idx", "h", corner)
+    listed = posed.select("strip_id", "frame_idx", "h", corner)
     x, y = apply_transform(F.col("h"), F.col("c.x"), F.col("c.y"))
-    return spread.select("strip_id", "frame_idx", "c.corner", x.alias("x"), y.alias("y"))
+    return listed.select("strip_id", "frame_idx", "c.corner", x.alias("x"), y.alias("y"))
 
 
 def canvas(corners: DataFrame, max_side: int = MAX_SIDE, refuse_side: int = REFUSE_SIDE) -> DataFrame:
@@ -341,7 +341,9 @@ def blend(
         )
     )
     if crowded.isEmpty():
-        return every.groupBy(*_TILE).applyInArrow(_adder(size, weight, True), _MOSAIC_DDL)
+        return spread(every, *_TILE).groupBy(*_TILE).applyInArrow(
+            _adder(size, weight, True), _MOSAIC_DDL
+        )
     quiet = every.join(crowded, _TILE, "left_anti")
     part = F.pmod(F.xxhash64("frame_idx", "bx", "by"), F.col("parts")).alias("part")
     split = every.join(crowded, _TILE).select("*", part)
@@ -367,7 +369,7 @@ def pixels(mosaic: DataFrame) -> DataFrame:
     """Long form: one row per pixel (strip_id, x, y, b, g, r, covered)."""
     names = ["strip_id", "x", "y", "b", "g", "r", "covered"]
 
-    def spread(batches):
+    def listed(batches):
         for batch in batches:
             for row in _rows_of([batch]):
                 image = as_image(row["bgr"], row["h"], row["w"])
@@ -378,7 +380,7 @@ def pixels(mosaic: DataFrame) -> DataFrame:
                 arrays = [pa.array(c.astype(np.int32)) for c in cells]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return mosaic.mapInArrow(spread, ", ".join(f"{n} int" for n in names))
+    return mosaic.mapInArrow(listed, ", ".join(f"{n} int" for n in names))
 
 
 # --- crop: largest bright region with its holes filled ---
@@ -484,12 +486,9 @@ def connected_roots(edges: DataFrame) -> DataFrame:
     names; the number of rounds grows with the logarithm of the longest path.
     """
     key = ["strip_id", "u"]
-    edges, before = settle(edges), None
-    while True:
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("strip_id", "u", "v") % 1000003)).first()
-        if mark == before or mark[0] == 0:
-            break
-        before = mark
+    marks = F.count("*"), F.sum(F.xxhash64("strip_id", "u", "v") % 1000003)
+    before, (edges, mark) = None, settle_marked(edges, *marks)
+    while mark[0] and mark != before:
         both = edges.union(edges.select("strip_id", F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*key).agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
@@ -505,7 +504,7 @@ def connected_roots(edges: DataFrame) -> DataFrame:
             .where("u > v")
             .distinct()
         )
-        edges = settle(small)
+        before, (edges, mark) = mark, settle_marked(small, *marks)
     return edges.groupBy("strip_id", F.col("u").alias("region")).agg(F.min("v").alias("root"))
 
 

@@ -350,12 +350,12 @@ names AS (
 
 # --- flight: every order is a block of the ground, frames are flown over it ---
 
-BLOCK_PX, GROUND_BLOCKS = 4, 40
-FLIGHT_WIDTH, FLIGHT_HEIGHT, FLIGHT_STEP = 128, 120, 48
+BLOCK_PX, GROUND_BLOCKS = 4, 60
+FLIGHT_WIDTH, FLIGHT_HEIGHT, FLIGHT_STEP = 200, 180, 60
 
 
 def flight_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A flight line with 60 % overlap and a little sideways drift over a ground of blocks."""
+    """A flight line with two thirds overlap and a little sideways drift over a ground of blocks."""
     key, price = F.col("o_orderkey"), F.floor("o_totalprice")
     ground = (
         read(spark, sf_dir, "orders")
