@@ -288,8 +288,8 @@ ORACLES = {
            JOIN (SELECT unnest(range(20)) AS y) v ON v.y < nh
                 AND (v.y + 1) * height / nh > p.y AND v.y * height / nh < p.y + 1)
          SELECT CAST(f AS INT) AS frame_idx, CAST(tx AS INT) AS x, CAST(ty AS INT) AS y,
-                CAST(floor(sum(b * w) + 0.5) AS INT) AS b, CAST(floor(sum(g * w) + 0.5) AS INT) AS g,
-                CAST(floor(sum(r * w) + 0.5) AS INT) AS r FROM part GROUP BY ALL""",
+                CAST(floor(sum(b * w) + 0.5 + 1e-9) AS INT) AS b, CAST(floor(sum(g * w) + 0.5 + 1e-9) AS INT) AS g,
+                CAST(floor(sum(r * w) + 0.5 + 1e-9) AS INT) AS r FROM part GROUP BY ALL""",
     "s6_tiles_round_trip": _FRAMES
     + """SELECT CAST(f AS INT) AS frame_idx, CAST(x AS INT) AS x, CAST(y AS INT) AS y,
                 CAST(b AS INT) AS b, CAST(g AS INT) AS g, CAST(r AS INT) AS r FROM fpx""",
