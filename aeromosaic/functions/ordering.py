@@ -110,14 +110,17 @@ def top_n(df: DataFrame, keys: list[str], order: list, n: int, rank: str) -> Dat
 
     Spark limits each key before the shuffle only up to a threshold of n. Above
     it the keys are salted and limited once per salt first, so that a key with
-    most of the rows never sorts in one task.
+    most of the rows never sorts in one task: the last step sees at most n rows
+    per salt of it.
     """
-    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    conf = df.sparkSession.conf
+    threshold = int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
     rows = df
     if n > threshold:
+        salts = int(conf.get("spark.sql.shuffle.partitions"))
         salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
         rows = (
-            rows.withColumn("_salt", F.spark_partition_id())
+            rows.withColumn("_salt", F.spark_partition_id() % salts)
             .withColumn(rank, F.row_number().over(salted))
             .where(F.col(rank) <= n)
             .drop("_salt", rank)

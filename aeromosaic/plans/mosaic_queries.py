@@ -1,5 +1,7 @@
 """Source, canvas, blending and cropping queries with their check SQL."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from aeromosaic.functions.ordering import settle, shared_dir
@@ -18,14 +20,18 @@ def _frames(spark, sf_dir):
     return settle(wl.scene_frames(spark, sf_dir))
 
 
+def _poses(spark, sf_dir):
+    return settle(wl.scene_poses(spark, sf_dir))
+
+
 def _canvas(spark, sf_dir, frames, **options):
-    return ms.canvas(ms.footprints(frames, wl.scene_poses(spark, sf_dir)), **options)
+    return ms.canvas(ms.footprints(frames, _poses(spark, sf_dir)), **options)
 
 
 def _placed(spark, sf_dir):
     frames = _frames(spark, sf_dir)
     canvases = _canvas(spark, sf_dir, frames, max_side=None, refuse_side=None)
-    shifted = ms.shift(wl.scene_poses(spark, sf_dir), canvases)
+    shifted = ms.shift(_poses(spark, sf_dir), canvases)
     return im.to_tiles(frames, FRAME_TILE), shifted, canvases
 
 
@@ -45,7 +51,7 @@ def _warped(spark, sf_dir, weight):
 
 def _shift(spark, sf_dir):
     frames = _frames(spark, sf_dir)
-    shifted = ms.shift(wl.scene_poses(spark, sf_dir), _canvas(spark, sf_dir, frames, max_side=SIDE, refuse_side=None))
+    shifted = ms.shift(_poses(spark, sf_dir), _canvas(spark, sf_dir, frames, max_side=SIDE, refuse_side=None))
     h = F.col("h")
     columns = [F.round(h[k], 6).alias(f"h{k}") for k in (0, 2, 4, 5)]
     return shifted.select("frame_idx", *columns, "width", "height")
@@ -136,8 +142,6 @@ def _round_trip(spark, sf_dir):
 
 
 def _new_folder(spark, label):
-    import uuid
-
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
