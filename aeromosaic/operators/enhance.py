@@ -266,7 +266,7 @@ def clahe(mosaic: DataFrame, clip: float = 2.0, grid: int = 8) -> DataFrame:
         for ys, wy in ((y1, 1 - ay), (y2, ay)):
             for xs, wx in ((x1, 1 - ax), (x2, ax)):
                 mixed = mixed + values[ys[:, None], xs[None, :], light] * (wy[:, None] * wx[None, :])
-        image[..., 0] = np.clip(np.rint(mixed), 0, 255)
+        image[..., 0] = np.clip(np.rint(np.round(mixed, 9)), 0, 255)
         kept = {c: row[c] for c in _MOSAIC.names}
         yield {**kept, "bgr": filters.from_lab(image).tobytes()}
 

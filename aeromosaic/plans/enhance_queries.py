@@ -1,5 +1,6 @@
 """Enhancement queries with their check SQL."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from aeromosaic.functions import filters
@@ -125,6 +126,53 @@ SELECT CAST(cy AS INT) AS cy, CAST(cx AS INT) AS cx, CAST(level AS INT) AS level
 FROM spread"""
 )
 
+_TABLE_ROWS = _TABLES.replace("SELECT CAST(cy AS INT)", ", tables AS (SELECT CAST(cy AS INT)", 1) + ")"
+_MIXED = (
+    _TABLE_ROWS
+    + """, spot AS (
+  SELECT x, y, b, g, r, x / ceil(width / 8) - 0.5 AS px, y / ceil(height / 8) - 0.5 AS py
+  FROM lab CROSS JOIN size),
+corner AS (
+  SELECT s.*, greatest(0, least(7, floor(px) + i)) AS cx, greatest(0, least(7, floor(py) + j)) AS cy,
+         CASE WHEN i = 0 THEN 1 - (px - floor(px)) ELSE px - floor(px) END
+         * CASE WHEN j = 0 THEN 1 - (py - floor(py)) ELSE py - floor(py) END AS w
+  FROM spot s CROSS JOIN (SELECT unnest([0, 1]) AS i) CROSS JOIN (SELECT unnest([0, 1]) AS j)),
+flat AS (
+  SELECT x, y, round_even(round(sum(w * value), 9), 0) AS b, g, r
+  FROM corner c JOIN tables t ON t.cx = c.cx AND t.cy = c.cy AND t.level = c.b GROUP BY x, y, g, r)"""
+)
+
+
+def _back(source):
+    """Lab of ``source`` (as b, g, r) back to colours."""
+    inverse = np.linalg.inv(filters._XYZ).tolist()
+    white = (0.950456, 1.0, 1.088754)
+    linear = ", ".join(
+        "least(1, greatest(0, "
+        + " + ".join(f"({m!r}::DOUBLE) * {v} * {n}" for m, v, n in zip(row, ("tx", "ty", "tz"), white))
+        + "))"
+        for row in inverse
+    )
+    coded = "CASE WHEN v <= 0.0031308 THEN v * 12.92 ELSE 1.055 * pow(v, 1 / 2.4::DOUBLE) - 0.055 END"
+    return f""", tone AS (
+      SELECT x, y, b / 2.55::DOUBLE AS l, g - 128.0::DOUBLE AS p, r - 128.0::DOUBLE AS q FROM {source}),
+    level AS (
+      SELECT *, CASE WHEN l <= 903.3 * 0.008856 THEN l / 903.3 ELSE pow((l + 16) / 116, 3) END AS ty,
+             CASE WHEN l <= 903.3 * 0.008856 THEN 7.787 * l / 903.3 + 16 / 116
+                  ELSE (l + 16) / 116 END AS fy FROM tone),
+    shade AS (SELECT *, fy + p / 500 AS fx, fy - q / 200 AS fz FROM level),
+    light AS (
+      SELECT x, y, ty,
+             CASE WHEN fx > 7.787 * 0.008856 + 16 / 116 THEN pow(fx, 3)
+                  ELSE (fx - 16 / 116) / 7.787 END AS tx,
+             CASE WHEN fz > 7.787 * 0.008856 + 16 / 116 THEN pow(fz, 3)
+                  ELSE (fz - 16 / 116) / 7.787 END AS tz FROM shade),
+    rgb AS (
+      SELECT x, y, list_transform(list_transform([{linear}], lambda v: {coded}), lambda v:
+             CAST(least(255, greatest(0, round_even(v * 255, 0))) AS INT)) AS c FROM light)
+    SELECT x, y, c[3] AS b, c[2] AS g, c[1] AS r FROM rgb"""
+
+
 _BILATERAL = """, near AS (
   SELECT x, y, dx, dy,
          CASE WHEN x + dx < 0 THEN -(x + dx)
@@ -161,7 +209,9 @@ ORACLES = {
         _blur(_WIDE), f"SELECT c.x, c.y, {_SHARP} FROM cell c JOIN blurred s ON s.x = c.x AND s.y = c.y"
     ),
     "e4_to_lab": _with(_LAB, "SELECT x, y, b, g, r FROM lab"),
+    "e4_lab_round_trip": _with(_LAB, _back("lab")),
     "e5_clahe_tables": _with(_TABLES),
+    "e5_clahe": _with(_MIXED, _back("flat")),
     "e6_bilateral": _with(_BILATERAL),
     "r2_mosaic_summary": _with(
         "",
