@@ -12,7 +12,7 @@ from aeromosaic.sources import sinks
 
 # Small tiles, so that even the small tables make several.
 SIZE, FRAME_TILE = 48, 32
-BRIGHT = 160
+BRIGHT = 180
 SIDE, REFUSED = 64, 70
 
 
@@ -353,7 +353,7 @@ ORACLES = {
     "w9_grey": _SCENE
     + "SELECT x, y, CAST((b * 114 + g * 587 + r * 299 + 500) // 1000 AS INT) AS grey FROM cell",
     "w10_crop_box": _SCENE
-    + """, dark AS (SELECT x, y FROM cell WHERE (b * 114 + g * 587 + r * 299 + 500) // 1000 <= 160),
+    + """, dark AS (SELECT x, y FROM cell WHERE (b * 114 + g * 587 + r * 299 + 500) // 1000 <= 180),
          outside AS (
            SELECT x, y FROM dark, size
            WHERE x = 0 OR y = 0 OR x = width - 1 OR y = height - 1
