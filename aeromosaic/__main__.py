@@ -4,6 +4,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from aeromosaic import ship
 from aeromosaic.operators.mosaic import mosaic_summary
 from aeromosaic.plans.orthomosaic import mosaic_directory
 
@@ -17,7 +18,7 @@ def main():
     parser.add_argument("--window", type=int, default=3, help="how far a chain may skip ahead")
     parser.add_argument("--every_strip", action="store_true", help="a mosaic per unbroken strip")
     options = vars(parser.parse_args())
-    spark = SparkSession.builder.appName("aeromosaic").getOrCreate()
+    spark = ship(SparkSession.builder.appName("aeromosaic").getOrCreate())
     directory, output = options.pop("input_dir"), options.pop("output")
     tables = mosaic_directory(spark, directory, output, **options)
     mosaic_summary(tables["cropped"]).show(truncate=False)
