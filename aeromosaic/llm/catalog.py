@@ -1,8 +1,16 @@
 """The registered queries of this subpackage and their check SQL."""
 
-from aeromosaic.llm import decontaminate, license_scan, secret_scan, simhash, token_counts
+from aeromosaic.llm import (
+    decontaminate,
+    language,
+    license_scan,
+    secret_scan,
+    sharding,
+    simhash,
+    token_counts,
+)
 
-_PARTS = [secret_scan, token_counts, decontaminate, license_scan, simhash]
+_PARTS = [secret_scan, token_counts, sharding, decontaminate, license_scan, simhash, language]
 
 QUERIES = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
