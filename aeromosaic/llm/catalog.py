@@ -4,13 +4,14 @@ from aeromosaic.llm import (
     decontaminate,
     language,
     license_scan,
+    ppm,
     secret_scan,
     sharding,
     simhash,
     token_counts,
 )
 
-_PARTS = [secret_scan, token_counts, sharding, decontaminate, license_scan, simhash, language]
+_PARTS = [secret_scan, token_counts, sharding, decontaminate, license_scan, simhash, language, ppm]
 
 QUERIES = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
