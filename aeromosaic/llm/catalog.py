@@ -4,6 +4,7 @@ from aeromosaic.llm import (
     decontaminate,
     language,
     license_scan,
+    neighbours,
     ppm,
     secret_scan,
     sharding,
@@ -11,7 +12,17 @@ from aeromosaic.llm import (
     token_counts,
 )
 
-_PARTS = [secret_scan, token_counts, sharding, decontaminate, license_scan, simhash, language, ppm]
+_PARTS = [
+    neighbours,
+    secret_scan,
+    token_counts,
+    sharding,
+    decontaminate,
+    license_scan,
+    simhash,
+    language,
+    ppm,
+]
 
 QUERIES = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
