@@ -4,6 +4,7 @@ from aeromosaic.llm import (
     decontaminate,
     language,
     license_scan,
+    mixing,
     neighbours,
     ppm,
     secret_scan,
@@ -20,6 +21,7 @@ _PARTS = [
     decontaminate,
     license_scan,
     simhash,
+    mixing,
     language,
     ppm,
 ]
