@@ -26,11 +26,13 @@ from aeromosaic.functions.ordering import settle, top_n
 from aeromosaic.llm.texts import table
 
 DIMS = 8
-CONFIDENCE = 0.98
+CONFIDENCE = 0.96
 SAMPLE = 20_000  # vectors that the cells are fitted on; all are indexed
 CELL_ROWS = 8192
 LEAF = 32
-_STEP = 4  # leaves opened at once
+_STEP = 8  # leaves opened first
+_CHUNK = 256  # candidates verified at once
+_TINY = 1e-12
 SEED = 7
 
 
@@ -46,11 +48,16 @@ def chi_square(x: np.ndarray) -> np.ndarray:
     return np.where(np.isinf(h), 1.0, out)
 
 
-def _ruled_out(bound, worst):
-    """Whether projected squared distances from ``bound`` on pass the test at distance ``worst``."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.where(worst > 0, bound / worst, np.where(bound > 0, np.inf, 0.0))
-    return chi_square(np.where(np.isinf(worst), 0.0, ratio)) >= CONFIDENCE
+def _quantile() -> float:
+    low, high = 0.0, 1000.0
+    while high - low > 1e-9:
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(mid) < CONFIDENCE else (low, mid)
+    return high
+
+
+#: The test holds at a projected squared distance of so many times the squared distance reached.
+_QUANTILE = _quantile()
 
 
 def directions(length: int) -> np.ndarray:
@@ -136,34 +143,41 @@ class Tree:
         bounds = _box_bounds(point, self.low, self.high)
         order = bounds.argsort(kind="stable")
         best: list[tuple[float, int]] = []
-        rows, near = np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(order), _STEP):
-            if _ruled_out(bounds[order[at]], worst):
+        at, step = 0, _STEP
+        while at < len(order) and np.isinf(worst):  # the nearest leaves, until any distance is reached
+            rows = np.concatenate([self.leaves[k] for k in order[at : at + step]])
+            best, worst = self._verify(query, rows, best, want, worst)
+            at, step = at + step, 2 * step
+        stop = at + int(np.searchsorted(bounds[order[at:]], worst * _QUANTILE + _TINY, "right"))
+        if at >= stop:
+            return best
+        rows = np.concatenate([self.leaves[k] for k in order[at:stop]])
+        gap = self.points[rows] - point
+        near = (gap * gap).sum(1)
+        due = near <= worst * _QUANTILE + _TINY
+        rows, near = rows[due], near[due]
+        order = near.argsort(kind="stable")
+        for at in range(0, len(order), _CHUNK):
+            some = order[at : at + _CHUNK]
+            if near[some[0]] > worst * _QUANTILE + _TINY:  # the test holds from here on
                 break
-            opened = np.concatenate([self.leaves[k] for k in order[at : at + _STEP]])
-            gap = self.points[opened] - point
-            rows, near = np.r_[rows, opened], np.r_[near, (gap * gap).sum(1)]
-            limit = bounds[order[at + _STEP]] if at + _STEP < len(order) else np.inf
-            due = near <= limit  # no unopened point comes before these
-            if due.any():
-                best, worst = self._verify(query, rows[due], near[due], best, want, worst)
-                rows, near = rows[~due], near[~due]
+            best, worst = self._verify(query, rows[some], best, want, worst)
         return best
 
-    def _verify(self, query, rows, near, best, want, worst):
-        """Exact cosines of the candidates, in order of projected distance."""
-        order = near.argsort(kind="stable")
-        for at in range(0, len(order), 64):
-            some = order[at : at + 64]
-            if _ruled_out(near[some[0]], worst):
-                break
-            scores = (self.scaled[rows[some]] * query).sum(1)
-            for row, score in zip(rows[some], scores, strict=True):
-                if len(best) < want or score >= best[-1][0]:
-                    best += [(float(score), int(i)) for i in self.ids[row]]
-                    best = sorted(set(best), key=lambda x: (-x[0], x[1]))[:want]
-            if len(best) >= want:
-                worst = min(worst, max(0.0, 2 - 2 * best[-1][0]))
+    def _verify(self, query, rows, best, want, worst):
+        """The best ids with some more rows, by exact cosines."""
+        least = best[-1][0] if len(best) >= want else -np.inf
+        rows = rows[self.scaled[rows] @ query >= least - 1e-9]
+        scores = (self.scaled[rows] * query).sum(1)  # the same sum for a vector wherever it stands
+        if len(rows) > want:
+            keep = np.argpartition(-scores, want - 1)[:want]
+            keep = np.flatnonzero(scores >= scores[keep].min())  # all ties of the last one
+            rows, scores = rows[keep], scores[keep]
+        if len(rows):
+            best = best + [(s, i) for r, s in zip(rows, scores.tolist(), strict=True) for i in self.ids[r]]
+            best = sorted(set(best), key=lambda x: (-x[0], x[1]))[:want]
+        if len(best) >= want:
+            worst = min(worst, max(0.0, 2 - 2 * best[-1][0]))
         return best, worst
 
 
@@ -245,8 +259,8 @@ def _visits(cells, want, first: bool):
             cells_left = np.zeros(0, np.int64)
             if first:
                 reached = max(0.0, 2 - 2 * best[-1][0]) if len(best) >= want else np.inf
-                out = _ruled_out(cells.value.bounds(points[row]), reached)
-                cells_left = np.flatnonzero(~out)
+                near = cells.value.bounds(points[row]) <= reached * _QUANTILE + _TINY
+                cells_left = np.flatnonzero(near)
                 cells_left = cells_left[cells_left != cell]
             visit.append(cells_left.tolist())
         kind = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())]))
