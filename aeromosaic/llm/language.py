@@ -50,7 +50,7 @@ def gram_counts(text: str | None) -> np.ndarray:
     three = (two[:-1] << np.uint32(8)) | a[2:]
     mix, shift = np.uint32(2654435761), np.uint32(32 - DIM_BITS)
     n = np.zeros(DIM, np.int64)
-    for k, grams in enumerate((a, two, three), 1):
+    for k, grams in enumerate((a[a != 32], two, three), 1):
         place = ((grams + np.uint32(k << 24)) * mix) >> shift
         n += np.bincount(place, minlength=DIM)
     return n
@@ -138,9 +138,12 @@ def _cluster(v: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 
 def _floors(cosine: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Least cosine accepted in each length class; a class with few texts takes the next shorter."""
+    """Least cosine accepted in each length class; a class with few texts takes the next shorter,
+    or, if there is none, that of all texts if they are no longer."""
     floors, last = np.full(_CLASSES, LEAST), LEAST
     for k in range(_CLASSES):
+        if k == classes.min() and len(classes) >= 5:
+            last = max(LEAST, MARGIN * float(cosine.min()))
         here = cosine[classes == k]
         if len(here) >= 20:
             last = max(LEAST, MARGIN * float(here.min()))
