@@ -10,7 +10,8 @@ Texts are dealt to blocks, which are read twice: once to count, each block givin
 and words with their number in training texts, once to score. In between the trie is made: nodes are
 grouped by the last two bytes of their context, which share all suffixes down to those; one- and
 two-byte nodes (at most 256 * 257) go to every task. Costs come back to each block for the grams that
-it has, and word counts where they differ from its own. No task holds more than a block or the nodes
+it has, and word counts where they differ from its own (a block may hand a gram or word on in several
+rows, which then come back as several equal ones). No task holds more than a block or the nodes
 of a two-byte context.
 
 A null text counts as empty: only its end is scored. Rows are scored one by one, so repeated rows and
@@ -23,20 +24,20 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aeromosaic.functions.ordering import settle
 from aeromosaic.llm.texts import table
 
 ORDER = 4
-BLOCK_BYTES = 16 << 20  # UTF-8 bytes of the texts of a block
+BLOCK_BYTES = 32 << 20  # UTF-8 bytes of the texts of a block
 START, END = 0xFF, 0xFE  # bytes that UTF-8 never has: before a text, and its last symbol
 SYMBOLS = 257  # all bytes and the end
-_PART = 4 << 20  # symbols coded at once
+_PART = 1 << 20  # symbols coded at once
 _WIDTH = 8 * (ORDER + 1)
 _ROOMS = 1 << (64 - _WIDTH)  # texts told apart while their grams are sorted
-_FLUSH = 1_000_000  # distinct words held in a task before they are handed on
+_FLUSH = 800_000  # distinct grams and words held in a task before they are handed on
 _TWO = 256 * 256
 
 
@@ -308,21 +309,24 @@ def scores(docs: DataFrame, learns: Column, place: list[Column] | None = None) -
     grams = counted.where("gram IS NOT NULL").select("block", "gram", "n")
     words = counted.where("gram IS NULL").select("block", "word", "n")
     costs = gram_costs(settle(grams.groupBy("gram").agg(F.sum("n").alias("n"))))
-    known = settle(words.groupBy("word").agg(F.sum("n").alias("c")))
+    # a word's rows are at most one or a few from each block, so they may meet in one task
+    same = Window.partitionBy("word")
+    place, c = F.row_number().over(same.orderBy("block")), F.sum("n").over(same)
+    summed = words.select("block", "word", "n", c.alias("c"), place.alias("place"))
+    seen = Observation()
+    known_first = F.count_if((F.col("place") == 1) & (F.col("c") > 0))
+    summed = summed.observe(seen, F.sum("n").alias("n"), known_first.alias("v"))
+    elsewhere = settle(summed.where("c <> n").select("block", "word", "c"))
     ends = marked.agg(F.count_if("learns")).first()[0]
-    n, v = known.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    n, v = (n or 0) + ends, v + (ends > 0)
+    n, v = (seen.get["n"] or 0) + ends, seen.get["v"] + (ends > 0)
 
     nothing = F.lit(None)
-    back = (
-        grams.groupBy("block", "gram").agg(F.lit(0)).join(costs, "gram")
-        .select("block", "gram", "cost", nothing.cast("binary").alias("word"), nothing.cast("long").alias("n"))
-        .union(
-            words.groupBy("block", "word").agg(F.sum("n").alias("n")).join(known, "word")
-            .where("c <> n")
-            .select("block", nothing.cast("long"), nothing.cast("double"), "word", "c")
-        )
-    )
+    back = grams.join(costs, "gram").select(
+        "block", "gram", "cost", nothing.cast("binary").alias("word"), nothing.cast("long").alias("n")
+    )
+    back = back.union(
+        elsewhere.select("block", nothing.cast("long"), nothing.cast("double"), "word", "c")
+    )
     doc_id = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {doc_id}, learns boolean, n_tokens long, n_known long, base double, score double"
     scored = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scorer, schema)
