@@ -43,3 +43,14 @@ def squared_error(h: Column, sx: Column, sy: Column, dx: Column, dy: Column) ->
     """Squared distance between the mapped source point and the target point."""
     u, v = apply_transform(h, sx, sy)
     return (u - dx) * (u - dx) + (v - dy) * (v - dy)
+
+
+def invertible(h: Column) -> Column:
+    """Whether a transform is there, finite, and can be turned round (false for null)."""
+    det = (
+        h[0] * (h[4] * h[8] - h[5] * h[7])
+        - h[1] * (h[3] * h[8] - h[5] * h[6])
+        + h[2] * (h[3] * h[7] - h[4] * h[6])
+    )
+    sound = ~F.isnan(det) & (F.abs(det) > 1e-12) & (F.abs(det) < 1e300)
+    return h.isNotNull() & F.coalesce(sound, F.lit(False))

@@ -1,6 +1,5 @@
-"""Ranks, running sums and lineage cuts that do not need one task to see everything."""
+"""Ranks, running sums, joins and lineage cuts that do not need one task to see everything."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -8,18 +7,25 @@ from pyspark.sql import functions as F
 
 # Rows of one key that a single window task may hold in running_sum.
 BUCKET = 4096
+# Bytes of a table that attach sends to every task, and the salts it deals a larger one to.
+ATTACHED, SALTS = 32 << 20, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one only on a local master."""
+    """The checkpoint folder of the session, or one of its own in the warehouse."""
     context = spark.sparkContext
     configured = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="aeromosaic-"))
-    return context.getCheckpointDir()
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/aeromosaic-{context.applicationId}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete what settle has written in the warehouse; a configured folder is left to its owner."""
+    folder = shared_dir(spark)
+    if f"aeromosaic-{spark.sparkContext.applicationId}" in folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -51,6 +57,21 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys)
 
 
+def attach(rows: DataFrame, small: DataFrame, key: str, row_bytes: int = 64) -> DataFrame:
+    """Inner join with a table that has one row for each key, where one key may own all rows.
+
+    The small table is written, counted and sent to every task if it has at most ATTACHED bytes.
+    Beyond that it is repeated for SALTS salts and the rows are dealt by key and salt, so that a
+    key's rows spread either way.
+    """
+    small = settle(small)
+    if small.count() * row_bytes <= ATTACHED:
+        return rows.join(F.broadcast(small), key)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    return dealt.join(salted, [key, "_salt"]).drop("_salt")
+
+
 def number_rows(df: DataFrame, order: list, out: str) -> DataFrame:
     """Number the rows 0, 1, 2, ... in the given order with a distributed sort.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeromosaic.functions import filters
-from aeromosaic.functions.ordering import spread
+from aeromosaic.functions.ordering import attach, settle, spread
 from aeromosaic.functions.raster import as_image, per_row
 from aeromosaic.schemas import MOSAIC
 
@@ -243,13 +243,18 @@ def clahe_tables(histograms: DataFrame, clip: float = 2.0) -> DataFrame:
     return clipped.select(*cell, "level", value.alias("value"))
 
 
+def _two(value):
+    """A byte as two hexadecimal digits."""
+    return F.lpad(F.hex(value), 2, "0")
+
+
 def clahe(mosaic: DataFrame, clip: float = 2.0, grid: int = 8) -> DataFrame:
     """Lightness equalized by the tables of the four nearest cells, mixed by distance."""
     tables = (
         clahe_tables(cell_histograms(mosaic, grid), clip)
         .groupBy("strip_id")
         .agg(F.sort_array(F.collect_list(F.struct("cy", "cx", "level", "value"))).alias("t"))
-        .select("strip_id", F.col("t.value").alias("values"))
+        .select("strip_id", F.unhex(F.array_join(F.transform("t.value", _two), "")).alias("values"))
     )
 
     def near(x, length):
@@ -259,7 +264,7 @@ def clahe(mosaic: DataFrame, clip: float = 2.0, grid: int = 8) -> DataFrame:
 
     def run(row):
         image = filters.to_lab(as_image(row["bgr"], row["h"], row["w"]))
-        values = np.array(row["values"], dtype=np.float64).reshape(grid, grid, 256)
+        values = np.frombuffer(row["values"], np.uint8).astype(np.float64).reshape(grid, grid, 256)
         y1, y2, ay = near(np.arange(row["y0"], row["y0"] + row["h"]), row["height"])
         x1, x2, ax = near(np.arange(row["x0"], row["x0"] + row["w"]), row["width"])
         light, mixed = image[..., 0], 0.0
@@ -270,13 +275,13 @@ def clahe(mosaic: DataFrame, clip: float = 2.0, grid: int = 8) -> DataFrame:
         kept = {c: row[c] for c in _MOSAIC.names}
         yield {**kept, "bgr": filters.from_lab(image).tobytes()}
 
-    joined = mosaic.select(*_MOSAIC.names).join(tables, "strip_id")
+    joined = attach(mosaic.select(*_MOSAIC.names), tables, "strip_id", grid * grid * 256)
     return joined.mapInArrow(per_row(run, _MOSAIC), MOSAIC)
 
 
 def enhanced(cropped: DataFrame) -> DataFrame:
     """Variants of the cropped mosaic: sharpened, and sharpened with contrast."""
-    sharp = unsharp(cropped)
+    sharp = settle(unsharp(cropped))  # a variant, and read twice for the other
     return sharp.withColumn("variant", F.lit("sharpened")).unionByName(
         clahe(sharp).withColumn("variant", F.lit("enhanced"))
     )

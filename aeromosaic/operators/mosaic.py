@@ -7,12 +7,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aeromosaic.functions.geometry import apply_transform, matmul
-from aeromosaic.functions.ordering import settle, settle_marked, spread
+from aeromosaic.functions.geometry import apply_transform, invertible, matmul
+from aeromosaic.functions.ordering import attach, settle, settle_marked, spread
 from aeromosaic.functions.raster import as_image, bilinear, label_regions, per_row
 
 TILE = 512
-MAX_SIDE, REFUSE_SIDE = 20_000, 25_000
 CROWD = 64  # patches on one tile that a single task adds up
 _UNIT = float(1 << 20)  # sums are kept in whole units, so their order does not matter
 _TILE = ["strip_id", "tx", "ty"]
@@ -49,12 +48,12 @@ def footprints(frames: DataFrame, poses: DataFrame) -> DataFrame:
     return listed.select("strip_id", "frame_idx", "c.corner", x.alias("x"), y.alias("y"))
 
 
-def canvas(corners: DataFrame, max_side: int = MAX_SIDE, refuse_side: int = REFUSE_SIDE) -> DataFrame:
+def canvas(corners: DataFrame, max_side: int = None, refuse_side: int = None) -> DataFrame:
     """One row per strip: origin, size, scale, bytes, and whether it is refused.
 
     Bounds are cut towards zero after widening by half a pixel. A canvas over
     max_side is scaled down as a whole (the canvas, not the frames); one that is
-    still over refuse_side is flagged. With max_side None nothing is scaled.
+    still over refuse_side is flagged. Without limits, the default, nothing is.
     """
     raw = corners.groupBy("strip_id").agg(
         F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy")
@@ -97,7 +96,10 @@ def canvas(corners: DataFrame, max_side: int = MAX_SIDE, refuse_side: int = REFU
 
 
 def shift(poses: DataFrame, canvases: DataFrame) -> DataFrame:
-    """Poses onto the canvas: scaled, then moved to its origin. Refused canvases drop out."""
+    """Poses onto the canvas: scaled, then moved to its origin.
+
+    Refused canvases drop out, and transforms that can't be turned round; ``pose_status`` lists both.
+    """
     scale, one, zero = F.col("scale"), F.lit(1.0), F.lit(0.0)
     onto = F.array(
         scale, zero, -F.col("x_min").cast("double"),
@@ -105,11 +107,25 @@ def shift(poses: DataFrame, canvases: DataFrame) -> DataFrame:
         zero, zero, one,
     )
     usable = canvases.where(~F.col("refused"))
-    return poses.where(F.col("h").isNotNull()).join(usable, "strip_id").select(
+    usable = usable.select("strip_id", "scale", "x_min", "y_min", "width", "height")
+    return attach(poses.where(invertible(F.col("h"))), usable, "strip_id").select(
         "strip_id", "frame_idx", matmul(onto, F.col("h")).alias("h"), "width", "height"
     )
 
 
+def pose_status(poses: DataFrame, canvases: DataFrame) -> DataFrame:
+    """(strip_id, frame_idx, status) of every pose: ok, or why its frame is not laid out."""
+    flags = canvases.select("strip_id", "refused")
+    listed = attach(poses.select("strip_id", "frame_idx", "h"), flags, "strip_id")
+    status = (
+        F.when(F.col("h").isNull(), "no transform")
+        .when(~invertible(F.col("h")), "singular transform")
+        .when(F.col("refused"), "canvas refused")
+        .otherwise("ok")
+    )
+    return listed.select("strip_id", "frame_idx", status.alias("status"))
+
+
 def assign_tiles(tiles: DataFrame, shifted: DataFrame, size: int = TILE) -> DataFrame:
     """Which canvas tiles each frame tile may touch: boxes listed by explode, joined by equality.
 
@@ -164,7 +180,10 @@ def _cut_patch(size):
         tx, ty = row["cx"], row["cy"]
         xs = np.array([tx * size, min((tx + 1) * size, row["width"]) - 1], dtype=np.float64)
         ys = np.array([ty * size, min((ty + 1) * size, row["height"]) - 1], dtype=np.float64)
-        back = np.linalg.inv(np.array(row["h"]).reshape(3, 3))
+        try:
+            back = np.linalg.inv(np.array(row["h"]).reshape(3, 3))
+        except np.linalg.LinAlgError:  # shift leaves such frames out; a caller's own may come here
+            return
         cx, cy = np.meshgrid(xs, ys)
         sx, sy, depth = back @ np.stack([cx.ravel(), cy.ravel(), np.ones(4)])
         bx, by, bw, bh = (row[c] for c in ("bx", "by", "bw", "bh"))
@@ -457,7 +476,7 @@ def _names(runs, row):
 def _joined_regions(regions: DataFrame, sizes: DataFrame, eight: bool) -> DataFrame:
     """(strip_id, region, root): tile regions that meet across tile edges share a root."""
     rim = regions.select("strip_id", "region", F.explode("rim").alias("place"))
-    rim = rim.join(sizes, "strip_id")
+    rim = attach(rim, sizes, "strip_id")
     x, y = F.col("place") % F.col("width"), F.floor(F.col("place") / F.col("width"))
     steps = [(1, 0), (0, 1)] + ([(1, 1), (-1, 1)] if eight else [])
     onward = F.explode(
@@ -483,12 +502,12 @@ def connected_roots(edges: DataFrame) -> DataFrame:
     """(strip_id, region, root) of the nodes of an edge table (strip_id, u > v): smallest name.
 
     Alternates hooking to the smallest neighbour over larger and over smaller
-    names; the number of rounds grows with the logarithm of the longest path.
+    names; the number of rounds grows with the logarithm of the longest path. Ends
+    when no edge is new, which is counted.
     """
     key = ["strip_id", "u"]
-    marks = F.count("*"), F.sum(F.xxhash64("strip_id", "u", "v") % 1000003)
-    before, (edges, mark) = None, settle_marked(edges, *marks)
-    while mark[0] and mark != before:
+    edges, (left,) = settle_marked(edges, F.count("*"))
+    while left:
         both = edges.union(edges.select("strip_id", F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*key).agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
@@ -504,7 +523,10 @@ def connected_roots(edges: DataFrame) -> DataFrame:
             .where("u > v")
             .distinct()
         )
-        before, (edges, mark) = mark, settle_marked(small, *marks)
+        new, (n,) = settle_marked(small, F.count("*"))
+        # star edges replace others, so an equal set is one of equal size with nothing new
+        same = n == left and new.join(edges, ["strip_id", "u", "v"], "left_anti").isEmpty()
+        edges, left = new, 0 if same else n
     return edges.groupBy("strip_id", F.col("u").alias("region")).agg(F.min("v").alias("root"))
 
 
@@ -579,9 +601,15 @@ def crop(mosaic: DataFrame, boxes: DataFrame) -> DataFrame:
         (F.col("x0") < F.col("cx") + F.col("cw")) & (F.col("x0") + F.col("w") > F.col("cx"))
         & (F.col("y0") < F.col("cy") + F.col("ch")) & (F.col("y0") + F.col("h") > F.col("cy"))
     )
-    kept = mosaic.join(box, "strip_id").where(inside)
-    first = kept.groupBy("strip_id").agg(F.min("tx").alias("ftx"), F.min("ty").alias("fty"))
-    return kept.join(first, "strip_id").mapInArrow(per_row(_trim, _MOSAIC), _MOSAIC_DDL)
+    kept = attach(mosaic, box, "strip_id").where(inside)
+    # the canvas tile with the box's corner: a tile at x0 with number tx tells the side of all
+
+    def first(number, start, corner):
+        there = F.floor(F.col(corner).cast("long") * F.col(number) / F.col(start))
+        return F.when(F.col(number) > 0, there).otherwise(0).cast("int")
+
+    kept = kept.withColumns({"ftx": first("tx", "x0", "cx"), "fty": first("ty", "y0", "cy")})
+    return kept.mapInArrow(per_row(_trim, _MOSAIC), _MOSAIC_DDL)
 
 
 def warp(cut: DataFrame, size: int = TILE, weight: str = "uniform") -> DataFrame:

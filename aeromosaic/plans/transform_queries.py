@@ -7,8 +7,7 @@ from aeromosaic.operators import transform as tr
 from aeromosaic.plans import match_queries as mq
 from aeromosaic.plans import workload as wl
 
-TRIALS = 64
-_ONE_ROUND = {"first_trials": TRIALS, "max_trials": TRIALS}
+TRIALS = tr.FIRST_TRIALS
 
 
 def _correspondences(spark, sf_dir):
@@ -17,7 +16,7 @@ def _correspondences(spark, sf_dir):
 
 
 def _affine(spark, sf_dir):
-    return tr.affine_ransac(wl.line_correspondences(spark, sf_dir), **_ONE_ROUND)
+    return tr.affine_ransac(wl.line_correspondences(spark, sf_dir))
 
 
 def _entries(df, *columns):
@@ -28,7 +27,7 @@ def _entries(df, *columns):
 
 def _homography(spark, sf_dir):
     points = wl.line_correspondences(spark, sf_dir)
-    found = tr.homography_ransac(points, first_trials=TRIALS)
+    found = tr.homography_ransac(points)
     better = tr.refit(points, found, "homography")
     whole = [F.round(F.col("h")[k]).cast("int").alias(f"h{k}") for k in range(8)]
     return better.select("i", "j", *whole)
@@ -90,9 +89,8 @@ _SEARCH = (
     + f""",
 pool AS (
   SELECT i, j, list([sx, sy, dx, dy] ORDER BY place) AS p, count(*) AS s
-  FROM (SELECT *, row_number() OVER (PARTITION BY i, j
-          ORDER BY ((m % 1000003) * 7919 + m // 1000003) % 1000003, m) AS place FROM corr)
-  WHERE place <= 256 GROUP BY i, j HAVING count(*) >= 3),
+  FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY m) AS place FROM corr)
+  GROUP BY i, j HAVING count(*) >= 3),
 places AS (
   SELECT i, j, p, s, t, t % s AS b, 1 + (t * 5 + t // s) % (s - 1) AS o1
   FROM pool CROSS JOIN (SELECT unnest(range({TRIALS})) AS t)),

@@ -33,18 +33,38 @@ def _glob(formats) -> str:
     return "*{" + ",".join(endings) + "}"
 
 
+def _loaded(reader, directory: str) -> DataFrame | None:
+    """What a reader finds in a directory, or None if there is no such path."""
+    try:
+        return reader.load(directory)
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _in_directory(path: Column, directory: str) -> Column:
+    """Whether a file lies in the directory itself."""
+    base = os.path.basename(os.path.normpath(directory))
+    if base in ("", ".", ".."):
+        return F.lit(True)
+    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1) == base
+
+
+def _plain(encoded: Column) -> Column:
+    """A path as it was before its odd characters were written as %XX; + stands for itself."""
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+
+
 def scan_images(spark: SparkSession, directory: str, formats=FORMATS) -> DataFrame:
     """Image files of a directory, not of its subdirectories.
 
     Only file facts are read, no content. A missing directory, a plain file or a
     directory without images gives an empty table.
     """
-    base = os.path.basename(os.path.normpath(directory))
-    try:
-        files = (
-            spark.read.format("binaryFile").option("pathGlobFilter", _glob(formats)).load(directory)
-        )
-    except AnalysisException:
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", _glob(formats))
+    files = _loaded(reader, directory)
+    if files is None:
         return empty(spark, _FILES)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     found = files.select(
@@ -53,9 +73,7 @@ def scan_images(spark: SparkSession, directory: str, formats=FORMATS) -> DataFra
         F.col("length").alias("n_bytes"),
         F.col("modificationTime").alias("modified"),
     ).where(has_format(name, formats))
-    if base not in ("", ".", ".."):
-        found = found.where(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1) == base)
-    return found
+    return found.where(_in_directory(F.col("path"), directory))
 
 
 def number_frames(files: DataFrame) -> DataFrame:
@@ -113,19 +131,15 @@ def decode(spark: SparkSession, directory: str, formats=FORMATS) -> DataFrame:
 
     Files that are no image, or vanish while being read, are left out.
     """
-    try:
-        images = (
-            spark.read.format("image")
-            .option("dropInvalid", True)
-            .option("pathGlobFilter", _glob(formats))
-            .load(directory)
-        )
-    except AnalysisException:
+    reader = spark.read.format("image").option("dropInvalid", True)
+    images = _loaded(reader.option("pathGlobFilter", _glob(formats)), directory)
+    if images is None:
         return empty(
             spark, "name string, height int, width int, n_channels int, pixels binary"
         )
-    return images.select(
-        F.regexp_extract("image.origin", r"([^/]+)$", 1).alias("name"),
+    origin = _plain(F.col("image.origin"))
+    return images.where(_in_directory(origin, directory)).select(
+        F.regexp_extract(origin, r"([^/]+)$", 1).alias("name"),
         F.col("image.height").alias("height"),
         F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("n_channels"),
@@ -133,16 +147,24 @@ def decode(spark: SparkSession, directory: str, formats=FORMATS) -> DataFrame:
     )
 
 
-def load_frames(spark: SparkSession, directory: str, formats=FORMATS) -> DataFrame:
+def load_frames(
+    spark: SparkSession, directory: str, formats=FORMATS, box: tuple[int, int] | str | None = None
+) -> DataFrame:
     """Scan, decode, shrink and number the frames of a directory.
 
-    The box depends on the number of files found; the numbers run over the
-    files that could be read. Pixels are written once, and only names are sorted.
+    Frames keep their size unless ``box`` is a width and height to fit them into, or
+    "by_count", which takes the box from the number of files found (``BOXES``). The numbers
+    run over the files that could be read. Pixels are written once, and only names are sorted.
     """
-    files = scan_images(spark, directory, formats)
-    n_files = files.agg(F.count("*")).scalar()
-    raw = decode(spark, directory, formats).withColumn("n_files", n_files)
-    scale = fit_scale(F.col("width"), F.col("height"), F.col("n_files"))
+    raw, width, height = decode(spark, directory, formats), F.col("width"), F.col("height")
+    if box is None:
+        scale = F.lit(1.0)
+    elif box == "by_count":
+        files = scan_images(spark, directory, formats)
+        raw = raw.withColumn("n_files", files.agg(F.count("*")).scalar())
+        scale = fit_scale(width, height, F.col("n_files"))
+    else:
+        scale = F.least(F.lit(float(box[0])) / width, F.lit(float(box[1])) / height, F.lit(1.0))
     ready = settle(resize_area(raw.withColumn("scale", scale)))
     numbers = number_frames(ready.select("name"))
     return numbers.join(ready, "name").select(

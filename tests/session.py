@@ -1,5 +1,7 @@
 """The session tests and checks run on."""
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -10,6 +12,7 @@ def build(cores: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="aeromosaic-tests-"))
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

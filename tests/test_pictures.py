@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aeromosaic.functions import filters, keypoints
+from aeromosaic.functions import filters, keypoints, ordering
 from aeromosaic.operators import enhance as en
 from aeromosaic.operators import features as ft
 from aeromosaic.operators import mosaic as ms
@@ -195,7 +195,10 @@ def test_image_files(spark, tmp_path):
     (folder / "e.txt").write_text("text")
     names = sorted(r.name for r in im.scan_images(spark, str(folder)).collect())
     assert names == ["a.png", "b.PNG", "d.jpg"]
-    frames = im.load_frames(spark, str(folder))
+    whole = im.load_frames(spark, str(folder)).orderBy("frame_idx").collect()
+    assert [(r.width, r.height) for r in whole] == [(1400, 1000), (40, 30)]
+    assert whole[0].pixels == picture_of["a.png"].tobytes()
+    frames = im.load_frames(spark, str(folder), box="by_count")
     rows = frames.orderBy("frame_idx").collect()
     assert [(r.frame_idx, r.name, r.width, r.height) for r in rows] == [
         (0, "a.png", 600, 428), (1, "b.PNG", 40, 30)
@@ -210,6 +213,62 @@ def test_image_files(spark, tmp_path):
     assert im.load_frames(spark, str(folder / "sub" / "none")).count() == 0
 
 
+def test_odd_file_names_stay_and_order(spark, tmp_path):
+    names = ["a b.png", "a#1.png", "a!.png", "a%20c.png", "a+b.PNG", "ä.png"]
+    for k, name in enumerate(names):
+        (tmp_path / name).write_bytes(sinks.png_bytes(ground(8, 9, k)))
+    assert sorted(r.name for r in im.scan_images(spark, str(tmp_path)).collect()) == sorted(names)
+    rows = im.load_frames(spark, str(tmp_path)).orderBy("frame_idx").collect()
+    assert [r.name for r in rows] == sorted(names)
+    for r in rows:
+        assert r.pixels == ground(8, 9, names.index(r.name)).tobytes()
+
+
+def test_one_strip_is_spread_whatever_the_join(spark, monkeypatch):
+    image = ground(64, 512)
+    table = mosaic_table(spark, image, 16)
+    box = ms.crop_box(table)
+    whole, equal = picture(ms.crop(table, box)), picture(en.clahe(table))
+    monkeypatch.setattr(ordering, "ATTACHED", 0)
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",  # tiny partitions stay apart
+    }
+    kept = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        cropped = ms.crop(table, box)
+        rows = cropped.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+        assert len(rows) > 2
+        assert (picture(cropped) == whole).all()
+        assert (picture(en.clahe(table)) == equal).all()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_frames_that_cannot_be_laid_out_are_told(spark):
+    good, flat = [1.0, 0, 0, 0, 1, 0, 0, 0, 1], [0.0] * 9
+    rows = [(0, 0, 0, good), (0, 1, 1, flat), (0, 2, 2, None), (0, 3, 3, [float("nan")] * 9)]
+    poses = spark.createDataFrame(rows, "strip_id int, pos int, frame_idx int, h array<double>")
+    frames = frames_table(spark, [ground(20, 30)] * 4)
+    canvases = ms.canvas(ms.footprints(frames, poses.where("frame_idx = 0")))
+    status = {r.frame_idx: r.status for r in ms.pose_status(poses, canvases).collect()}
+    assert status == {0: "ok", 1: "singular transform", 2: "no transform", 3: "singular transform"}
+    laid = ms.blend(im.to_tiles(frames, 16, 1), ms.shift(poses, canvases), canvases, 16)
+    assert picture(laid).shape[:2] == (20, 30)
+
+
+def test_a_large_canvas_is_kept(spark):
+    corners = spark.createDataFrame(
+        [(0, 0, 0, 0.0, 0.0), (0, 0, 1, 30000.0, 40.0)],
+        "strip_id int, frame_idx int, corner int, x double, y double",
+    )
+    (row,) = ms.canvas(corners).collect()
+    assert (row.width, row.height, row.scale, row.refused) == (30000, 40, 1.0, False)
+
+
 def test_shrinking_by_whole_and_broken_factors():
     image = ground(40, 60)
     half = im.shrink_area(image, 20, 30).astype(float)
@@ -261,10 +320,10 @@ def test_mosaic_of_a_flight_equals_the_scene(spark):
 
 def test_blank_frame_is_skipped_and_a_gap_ends_the_strip(spark):
     _, images = _flight(5, step=40, blank={2})
-    tables = om.mosaic(frames_table(spark, images), **OPTIONS)
+    tables = om.mosaic(frames_table(spark, images), every_strip=False, **OPTIONS)
     assert [r.frame_idx for r in tables["poses"].orderBy("pos").collect()] == [0, 1, 3, 4]
     _, images = _flight(7, step=60, blank={2, 3, 4})
-    tables = om.mosaic(frames_table(spark, images), every_strip=True, **OPTIONS)
+    tables = om.mosaic(frames_table(spark, images), **OPTIONS)
     strips = [(r.strip_id, r.frame_idx) for r in tables["poses"].orderBy("strip_id", "pos").collect()]
     assert strips == [(0, 0), (0, 1), (5, 5), (5, 6)]
     assert {r.strip_id for r in tables["cropped"].collect()} == {0, 5}
