@@ -41,48 +41,38 @@ def png_bytes(bgr: np.ndarray) -> bytes:
 
 @dataclass
 class _Written(WriterCommitMessage):
-    names: list
+    files: int
 
 
 class _TileWriter(DataSourceWriter):
-    """Tasks write under a folder of their own; commit moves the files of winning tasks."""
+    """Tasks write each file under a hidden name and give it its own in one move.
+
+    Names follow from the tile, so a task that runs again replaces what it left, and
+    nothing but a count goes to the driver.
+    """
 
     def __init__(self, path):
         self.path = path
-        self.staging = f"_staging-{uuid.uuid4().hex}"
-
-    def _target(self):
-        if "://" in self.path or self.path.startswith("file:"):
-            return fs.FileSystem.from_uri(self.path)
-        return fs.LocalFileSystem(), self.path
 
     def write(self, rows):
-        system, root = self._target()
-        folder = posixpath.join(root, self.staging, uuid.uuid4().hex)
-        system.create_dir(folder, recursive=True)
-        moves = []
+        system, root = fs.FileSystem.from_uri(self.path)
+        system.create_dir(root, recursive=True)
+        n = 0
         for row in rows:
             variant = row["variant"] if "variant" in row else "mosaic"
             name = f"{variant}_{row['strip_id']}_{row['ty']}_{row['tx']}.png"
-            with system.open_output_stream(posixpath.join(folder, name)) as out:
+            hidden = posixpath.join(root, f".{name}.{uuid.uuid4().hex}")
+            with system.open_output_stream(hidden) as out:
                 out.write(png_bytes(as_image(bytes(row["bgr"]), row["h"], row["w"])))
-            moves.append((posixpath.join(folder, name), posixpath.join(root, name)))
-        return _Written(moves)
+            system.move(hidden, posixpath.join(root, name))
+            n += 1
+        return _Written(n)
 
     def commit(self, messages):
-        system, root = self._target()
-        for message in messages:
-            for source, target in message.names if message else ():
-                system.move(source, target)
-        self._clear(system, root)
+        """Nothing is left to do: every file has its name."""
 
     def abort(self, messages):
-        self._clear(*self._target())
-
-    def _clear(self, system, root):
-        staging = posixpath.join(root, self.staging)
-        if system.get_file_info(staging).type == fs.FileType.Directory:
-            system.delete_dir(staging)
+        """Files of tasks that ended stay; the next run replaces them."""
 
 
 class TileImages(DataSource):
@@ -98,6 +88,11 @@ class TileImages(DataSource):
 
 def write_tile_images(mosaic: DataFrame, path: str) -> None:
     """One PNG per tile, named by variant, strip, row and column."""
-    mosaic.sparkSession.dataSource.register(TileImages)
+    spark = mosaic.sparkSession
+    spark.dataSource.register(TileImages)
+    # a path without a scheme is one of the session's file system, not of each worker
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    target = system.makeQualified(place).toUri().toString().replace("file:/", "file:///", 1)
     keep = [c for c in ("variant", "strip_id", "tx", "ty", "w", "h", "bgr") if c in mosaic.columns]
-    mosaic.select(*keep).write.format("tileimages").mode("append").save(path)
+    mosaic.select(*keep).write.format("tileimages").mode("append").save(target)

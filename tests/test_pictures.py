@@ -249,7 +249,7 @@ def test_one_strip_is_spread_whatever_the_join(spark, monkeypatch):
 
 
 def test_frames_that_cannot_be_laid_out_are_told(spark):
-    good, flat = [1.0, 0, 0, 0, 1, 0, 0, 0, 1], [0.0] * 9
+    good, flat = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [0.0] * 9
     rows = [(0, 0, 0, good), (0, 1, 1, flat), (0, 2, 2, None), (0, 3, 3, [float("nan")] * 9)]
     poses = spark.createDataFrame(rows, "strip_id int, pos int, frame_idx int, h array<double>")
     frames = frames_table(spark, [ground(20, 30)] * 4)

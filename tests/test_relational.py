@@ -83,7 +83,7 @@ def test_ties_go_to_the_first_detector_and_errors_are_reported(spark):
     ]
 
 
-def test_unequal_descriptors_are_an_error_row(spark):
+def test_unequal_descriptors_are_not_compared(spark):
     kps = spark.createDataFrame(
         [(f, "blob", k, 0.0, 0.0, 1.0, [1.0] * (2 + (k if f else 0)), None) for f in (0, 1) for k in (0, 1)],
         "frame_idx int, detector string, kp_id long, x double, y double, response double, "
@@ -91,11 +91,24 @@ def test_unequal_descriptors_are_an_error_row(spark):
     )
     pairs = spark.createDataFrame([(0, 1)], "i int, j int")
     assert mt.comparable(pairs, kps).count() == 0
-    wide = kps.where("frame_idx = 0").union(kps.where("frame_idx = 1").withColumn("frame_idx", F.lit(0)).limit(0))
-    both = wide.union(wide.withColumn("frame_idx", F.lit(1)))
+    even = kps.where("frame_idx = 0")
+    both = even.union(even.withColumn("frame_idx", F.lit(1)))
     assert mt.block_nearest(pairs, both).where("error is not null").count() == 0
 
 
+def test_ragged_descriptors_are_an_error_row(spark):
+    kps = spark.createDataFrame(
+        [(f, "blob", k, 0.0, 0.0, 1.0, [1.0] * (3 - f * k), None) for f in (0, 1) for k in (0, 1)],
+        "frame_idx int, detector string, kp_id long, x double, y double, response double, "
+        "descriptor array<float>, bits array<long>",
+    )
+    pairs = spark.createDataFrame([(0, 1)], "i int, j int")
+    nearest = mt.block_nearest(pairs, kps)
+    assert nearest.where("error is not null").count() == 1
+    (best,) = mt.best_detector(pairs, mt.pair_scores(mt.mutual(mt.ratio_test(mt.knn2(nearest)))), nearest).collect()
+    assert best.status.startswith("error: ") and best.n_matches == 0
+
+
 def _points(spark, h, n, stray, pair=(0, 1), seed=0, noise=0.0):
     rng = np.random.default_rng(seed)
     src = rng.uniform(0, 600, (n, 2))
