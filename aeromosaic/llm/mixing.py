@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeromosaic.functions.ordering import settle, top_n
+from aeromosaic.functions.ordering import settle, settle_marked, top_n
 from aeromosaic.llm.texts import letter_words, map_texts, table
 
 DOMAINS = ["high", "low", "toxic"]
@@ -250,6 +250,24 @@ def solve(scored: DataFrame, targets: dict[str, float | None]) -> DataFrame:
     return state.drop("ahead")
 
 
+def domain_rates(targets: dict[str, float | None], natural: list[float]) -> list[float]:
+    """Tokens wanted of each domain over those it has; the open domains have one rate.
+
+    With open targets beside zeros these are 1 and 0, whatever the natural shares are.
+    """
+    if not any(targets.get(d) for d in DOMAINS):
+        return [1.0 if targets.get(d) is None else 0.0 for d in DOMAINS]
+    wanted = shares(targets, natural)
+    budget = sum(n for n, w in zip(natural, wanted, strict=True) if w > 0)
+    open_ = [k for k, d in enumerate(DOMAINS) if targets.get(d) is None]
+    out = []
+    for k in range(len(DOMAINS)):
+        group = open_ if k in open_ else [k]
+        want, have = budget * sum(wanted[i] for i in group), sum(natural[i] for i in group)
+        out.append(want / have if have else float(k in open_ or wanted[k] > 0))
+    return out
+
+
 def _named(scored: DataFrame, keep: list[str]) -> DataFrame:
     names = {"__n_tokens": "n_tokens"} | {f"__p_{k}": f"p_{k}" for k in range(len(DOMAINS))}
     return scored.select(*keep, *[F.col(a).alias(b) for a, b in names.items()])
@@ -276,18 +294,19 @@ def mixed(
 def wanted_documents(
     docs: DataFrame, labels: DataFrame, targets: dict[str, float | None] = NATURAL, sample: int = SAMPLE
 ) -> DataFrame:
-    """The documents whose rate rounds to a copy or more, once each, with their own columns."""
-    number = "__row"
-    while number in docs.columns:
-        number += "_"
-    columns = [*docs.columns, number]
-    numbered = docs.withColumn(number, F.monotonically_increasing_id())
-    marked = settle(posteriors(numbered, columns, fit(docs, labels, sample)))
-    rates = solve(settle(_named(marked, [F.col(number).alias("row")])), targets)
-    kept = rates.where("rate >= 0.5").select("row")
-    return marked.join(kept, marked[number] == kept["row"], "left_semi").select(
-        *[F.col(f"`{c}`") for c in docs.columns]
+    """The documents that are worth half a copy or more, once each, with their own columns.
+
+    A document is worth the mean of its domains' rates under its own posteriors, so that which side of
+    the cut it is on doesn't depend on how much unwanted text the other documents hold.
+    """
+    p = [F.col(f"__p_{k}") for k in range(len(DOMAINS))]
+    tokens = F.col("__n_tokens").cast("double")
+    marked, natural = settle_marked(
+        posteriors(docs, docs.columns, fit(docs, labels, sample)), *[F.sum(tokens * x) for x in p]
     )
+    rates = domain_rates(targets, [x or 0.0 for x in natural])
+    worth = sum((x * F.lit(r) for x, r in zip(p, rates, strict=True)), F.lit(0.0))
+    return marked.where(worth >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
