@@ -5,9 +5,10 @@ A softmax classifier learned from the table of labels gives every document poste
 
     1/2 sum_k ((sum_d r_d n_d p_dk - t_k) / N)^2 + PULL / 2 sum_d n_d / N (r_d - 1)^2
 
-with n_d tokens, posteriors p_dk, targets t_k and N tokens in all, by accelerated projected gradient.
-Each iteration is one aggregate over a small table of numbers; only the sums of the domains reach
-the driver. Rates of one pass are a fold over its few residuals, written out every STRIDE steps.
+with n_d tokens, posteriors p_dk, targets t_k and N tokens in all. The dual has one number per domain:
+r_d = max(0, 1 - p_d . l), and Newton steps on l go on until the condition of every domain holds within
+TOLERANCE of the domain's own share of the tokens; if ROUNDS steps don't get there, an error tells.
+Each step is one aggregate over a small table of numbers; only sums of the domains reach the driver.
 
 The classifier is fitted on at most SAMPLE labelled documents, those with the smallest hash of their
 id; this bound is the only sampling. A document with several labels is toxic if any says so and of
@@ -40,7 +41,8 @@ VOCABULARY = 600  # words that tell domains apart
 LEAST_DOCS = 5
 STEPS, RATE, DECAY = 200, 2.0, 1e-4
 PULL = 1e-3
-ROUNDS, STRIDE, TOLERANCE = 48, 12, 1e-4
+ROUNDS, TOLERANCE = 200, 1e-6  # the residual left is relative to each domain's share; noise is of rounding
+ARMIJO, NOISE = 1e-4, 1e-12
 _CAPITALS, _DIGITS = string.ascii_uppercase.encode(), string.digits.encode()
 _MARKS, _SPACES = string.punctuation.encode(), string.whitespace.encode()
 _STYLES = 7
@@ -200,21 +202,46 @@ def shares(targets: dict[str, float | None], natural: list[float]) -> list[float
     return [w / total if total else 0.0 for w in out]
 
 
-def _stepped(p: list, rate, ahead, history: list[tuple[list[float], float]]):
-    """(rate, ahead) after the steps of a history of (residuals, momentum), as one fold."""
-    step = 1 / (1 + PULL)
-    items = [
-        F.struct(F.array(*map(F.lit, residuals)).alias("res"), F.lit(float(momentum)).alias("m"))
-        for residuals, momentum in history
-    ]
+def _rate(p: list, dual: list[float]):
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((x * F.lit(float(v)) for x, v in zip(p, dual, strict=True)), F.lit(0.0)))
 
-    def once(state, x):
-        slope = sum((p[k] * x["res"][k] for k in range(len(p))), F.lit(PULL) * (state["ahead"] - 1))
-        new = F.greatest(F.lit(0.0), state["ahead"] - step * slope)
-        return F.struct(new.alias("rate"), (new + x["m"] * (new - state["rate"])).alias("ahead"))
 
-    start = F.struct(rate.alias("rate"), ahead.alias("ahead"))
-    return F.aggregate(F.array(*items), start, once) if items else start
+def _dual(scored: DataFrame, total: float, share: np.ndarray, aim: np.ndarray) -> list[float]:
+    """Maximises - PULL / 2 |l|^2 - aim . l - 1/2 sum_d n_d / N max(0, 1 - p_d . l)^2 by Newton steps."""
+    p = [F.col(f"p_{k}") for k in range(len(DOMAINS))]
+    pairs = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
+
+    def look(at):
+        """The value at ``at``, its slope, and minus its curvature."""
+        rate = F.col("rate")
+        held = scored.select((F.col("n_tokens") / F.lit(total)).alias("n"), *p, _rate(p, at).alias("rate"))
+        moving = F.when(rate > 0, F.col("n")).otherwise(0.0)
+        sums = held.agg(
+            F.sum(F.col("n") * rate * rate),
+            *[F.sum(F.col("n") * rate * x) for x in p],
+            *[F.sum(moving * p[i] * p[j]) for i, j in pairs],
+        ).first()
+        curve = PULL * np.eye(len(p))
+        for (i, j), x in zip(pairs, sums[1 + len(p) :], strict=True):
+            curve[i, j] += x
+            curve[j, i] = curve[i, j]
+        slope = np.array(sums[1 : 1 + len(p)]) - aim - PULL * at
+        return -(PULL * at @ at + sums[0]) / 2 - aim @ at, slope, curve
+
+    at, length = np.zeros(len(p)), 1.0
+    value, slope, curve = look(at)
+    step = np.linalg.solve(curve, slope)
+    for _ in range(ROUNDS):
+        if (np.abs(slope) <= TOLERANCE * share + NOISE * (aim + PULL * np.abs(at))).all():
+            return at.tolist()
+        new = at + length * step
+        seen = look(new)
+        if seen[0] < value + ARMIJO * length * (slope @ step) - NOISE * abs(value):
+            length /= 2
+            continue
+        at, (value, slope, curve), length = new, seen, 1.0
+        step = np.linalg.solve(curve, slope)
+    raise RuntimeError(f"mixing rates did not converge in {ROUNDS} steps: residuals {slope.tolist()}, shares {share.tolist()}")
 
 
 def solve(scored: DataFrame, targets: dict[str, float | None]) -> DataFrame:
@@ -223,31 +250,13 @@ def solve(scored: DataFrame, targets: dict[str, float | None]) -> DataFrame:
     tokens = F.col("n_tokens").cast("double")
     first = scored.agg(F.sum(tokens), *[F.sum(tokens * x) for x in p]).first()
     total, natural = first[0] or 0.0, [x or 0.0 for x in first[1:]]
-    state = scored.withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)})
     if not total:
-        return state.drop("ahead")
+        return scored.withColumn("rate", F.lit(1.0))
     wanted = shares(targets, natural)
     # as many tokens as the domains that are wanted have now
     budget = sum(n for n, w in zip(natural, wanted, strict=True) if w > 0) / total
-    history: list[tuple[list[float], float]] = []
-    before = None
-    for k in range(ROUNDS):
-        now = _stepped(p, F.col("rate"), F.col("ahead"), history)
-        sums = state.select("n_tokens", *p, now.alias("now")).agg(
-            *[F.sum(tokens * x * F.col("now.ahead")) for x in p]
-        ).first()
-        residuals = [s / total - budget * w for s, w in zip(sums, wanted, strict=True)]
-        history.append((residuals, k / (k + 3)))
-        moved = max(abs(a - b) for a, b in zip(residuals, before or [1.0] * len(p), strict=True))
-        before = residuals
-        if moved < TOLERANCE * PULL or k + 1 == ROUNDS or len(history) == STRIDE:
-            now = _stepped(p, F.col("rate"), F.col("ahead"), history)
-            state = state.withColumn("now", now).withColumns({"rate": F.col("now.rate"), "ahead": F.col("now.ahead")})
-            state = settle(state.drop("now"))
-            history = []
-        if moved < TOLERANCE * PULL:
-            break
-    return state.drop("ahead")
+    dual = _dual(scored, total, np.array(natural) / total, budget * np.array(wanted))
+    return scored.withColumn("rate", _rate(p, dual))
 
 
 def domain_rates(targets: dict[str, float | None], natural: list[float]) -> list[float]:

@@ -25,3 +25,28 @@ def test_other_documents_don_t_decide(shipped):
     assert mixing.domain_rates(mixing.NATURAL, [800.0, 199.0, 1.0]) == [1.0, 1.0, 0.0]
     assert mixing.domain_rates(mixing.NATURAL, [0.0, 0.0, 0.0]) == [1.0, 1.0, 0.0]
     assert mixing.domain_rates(mixing.TARGETS, [60.0, 40.0, 100.0]) == pytest.approx([1.25, 0.625, 0.0])
+
+
+@pytest.mark.parametrize("mass", [0.1, 0.002, 1e-5])
+@pytest.mark.parametrize("targets", [mixing.TARGETS, mixing.NATURAL])
+def test_rates_meet_the_condition_of_the_optimum(shipped, mass, targets):
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([3.0, 1.0, 0.05], 2000)
+    p[:, 2] *= mass / p[:, 2].mean()
+    p = np.minimum(p, 1) / np.minimum(p, 1).sum(1, keepdims=True)
+    n = rng.integers(1, 2000, len(p))
+    rows = [(int(a), *map(float, b)) for a, b in zip(n, p, strict=True)]
+    scored = shipped.createDataFrame(rows, "n_tokens long, p_0 double, p_1 double, p_2 double")
+    found = mixing.solve(scored, targets).collect()
+    n, p, rate = (np.array([r["n_tokens"] for r in found], float), np.array([list(r)[1:4] for r in found]), np.array([r["rate"] for r in found]))
+    natural = n @ p / n.sum()
+    wanted = np.array(mixing.shares(targets, list(natural)))
+    left = (n * rate) @ p / n.sum() - natural[:2].sum() * wanted
+    assert np.abs(rate - np.maximum(0, 1 - p @ left / mixing.PULL)).max() < 0.01
+
+
+def test_rates_that_do_not_converge_are_an_error(shipped, monkeypatch):
+    monkeypatch.setattr(mixing, "ROUNDS", 1)
+    scored = shipped.createDataFrame([(9, 0.1, 0.2, 0.7), (9, 0.8, 0.2, 0.0)], "n_tokens long, p_0 double, p_1 double, p_2 double")
+    with pytest.raises(RuntimeError, match="converge"):
+        mixing.solve(scored, mixing.TARGETS)
