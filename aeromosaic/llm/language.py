@@ -30,7 +30,7 @@ DIM = 1 << DIM_BITS
 SAMPLE = 2000  # labelled texts that a language's centroids are fitted on
 CENTROIDS = 4
 ROUNDS = 12
-MARGIN = 0.5  # a text is rejected below this share of the lowest cosine of its length class
+MARGIN = 0.5  # a text is rejected below this share of the median cosine of its length class
 LEAST = 0.02  # or below this cosine, whatever its length
 UNKNOWN = "und"
 _CLASSES = 24  # classes of length: powers of two of the number of n-grams
@@ -139,14 +139,15 @@ def _cluster(v: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 def _floors(cosine: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Least cosine accepted in each length class; a class with few texts takes the next shorter,
-    or, if there is none, that of all texts if they are no longer."""
+    or, if there is none, that of the shortest texts. Medians, so that a few odd rows don't lower it."""
     floors, last = np.full(_CLASSES, LEAST), LEAST
     for k in range(_CLASSES):
         if k == classes.min() and len(classes) >= 5:
-            last = max(LEAST, MARGIN * float(cosine.min()))
+            shortest = np.argsort(classes, kind="stable")[:20]
+            last = max(LEAST, MARGIN * float(np.median(cosine[shortest])))
         here = cosine[classes == k]
         if len(here) >= 20:
-            last = max(LEAST, MARGIN * float(here.min()))
+            last = max(LEAST, MARGIN * float(np.median(here)))
         floors[k] = last
     return floors
 
