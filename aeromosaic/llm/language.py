@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeromosaic.functions.ordering import top_n
+from aeromosaic.functions.ordering import settle, top_n
 from aeromosaic.llm.texts import map_texts, table
 
 DIM_BITS = 12
@@ -113,14 +113,20 @@ def _frequencies(labelled: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sample(labelled: DataFrame, size: int) -> DataFrame:
-    """At most ``size`` texts of each language, by the smallest hash of id and text."""
-    order = F.xxhash64("doc_id", "text")
-    counts = labelled.groupBy("lang").count()
-    thin = labelled.select("lang", order.alias("__order"), "text").join(counts, "lang")
+    """At most ``size`` distinct texts of each language, by the smallest hash of id and text.
+
+    Only hashes are counted and ranked; texts are fetched for the chosen ones and no others are shuffled.
+    """
+    hashed = labelled.withColumn("__order", F.xxhash64("doc_id", "text"))
+    thin = settle(hashed.select("lang", "__order").distinct())
+    counts = thin.groupBy("lang").count()
     # first about twice as many by their hash alone, so that only those are ranked
     share = (F.col("__order") / F.lit(2.0**64)) + 0.5
-    near = thin.where((F.col("count") <= 4 * size) | (share * F.col("count") < 2 * size))
-    return top_n(near.drop("count"), ["lang"], ["__order"], size, "__rank")
+    near = thin.join(F.broadcast(counts), "lang")
+    near = near.where((F.col("count") <= 4 * size) | (share * F.col("count") < 2 * size))
+    chosen = top_n(near.select("lang", "__order"), ["lang"], ["__order"], size, "__rank").drop("__rank")
+    fetched = hashed.join(F.broadcast(chosen), ["lang", "__order"], "left_semi")
+    return fetched.groupBy("lang", "__order").agg(F.max("text").alias("text"))
 
 
 def _cluster(v: np.ndarray, k: int, rounds: int) -> np.ndarray:

@@ -25,3 +25,10 @@ def test_a_few_odd_rows_do_not_lower_a_floor():
     cosine, classes = np.linspace(0.8, 0.9, 100), np.full(100, 9)
     odd = language._floors(np.r_[cosine, 0.05, 0.1], np.r_[classes, 9, 9])
     assert abs(odd[9] - language._floors(cosine, classes)[9]) < 0.01
+
+
+def test_the_sample_holds_distinct_texts_of_each_language(shipped):
+    rows = [(1, "the same words", "en")] * 50 + [(k, f"other words {k}", "en") for k in range(2, 30)]
+    rows += [(k, f"autres mots {k}", "fr") for k in range(40, 43)]
+    got = [(r["lang"], r["text"]) for r in language._sample(documents(shipped, rows).select("doc_id", "text", "lang"), 20).collect()]
+    assert len(got) == len(set(got)) == 23
