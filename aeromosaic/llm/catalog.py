@@ -1,15 +1,18 @@
 """The registered queries of this subpackage and their check SQL."""
 
 from aeromosaic.llm import (
+    conversations,
     decontaminate,
     language,
     license_scan,
     mixing,
     neighbours,
+    packing,
     ppm,
     secret_scan,
     sharding,
     simhash,
+    spelling,
     token_counts,
 )
 
@@ -24,6 +27,9 @@ _PARTS = [
     mixing,
     language,
     ppm,
+    packing,
+    conversations,
+    spelling,
 ]
 
 QUERIES = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}

@@ -1,7 +1,7 @@
 """Helpers shared by the operators on texts: tables, words, and Arrow maps over one column."""
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def letter_words(text: str | None) -> list[bytes]:
     """Words of digits, letters and non-ASCII characters, A-Z lower-cased, as UTF-8."""
     return (text or "").encode().translate(TO_WORDS).split()
@@ -49,7 +54,7 @@ def map_texts(docs: DataFrame, keep: list[str], ddl: str, start, text: str = "te
             made = work(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(run, schema)
+    return docs.select(*[named(c) for c in wanted]).mapInArrow(run, schema)
 
 
 def sha256_join(parts: list[str]) -> str:
