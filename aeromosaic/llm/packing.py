@@ -14,6 +14,7 @@ A null or empty text is its end id alone. Repeated rows, null ids and further co
 an empty table gives an empty result.
 """
 
+import functools
 import json
 import os
 import re
@@ -26,24 +27,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from aeromosaic.llm.texts import field_list, named, table
+from aeromosaic.llm.token_counts import byte_letters
 
 TOKENIZER = "word_bpe_49k.json"
 WINDOW, END_ID = 4096, 2
 SENTENCE, INSIDE, STRIDE = 4, 32, 64
+PIECES = 1 << 18  # pieces that are looked up together
 RUN = 1 << 18  # ids whose cuts are chosen together
-MEMORY = 96 << 20  # bytes of pieces and ids a task remembers before it starts afresh
-LEARN = 4096  # pieces that one call of the library encodes
-
-# White space that every tokenizer file here drops; a piece is what stands between.
+MEMORY = 192 << 20  # bytes of pieces and ids a task remembers before it starts afresh
+
+# How the tokenizer file takes lower-cased Latin-1 text apart, checked against its pattern.
+_LETTER, _NUMBER, _BLANK = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The same as bytes; a run of other characters takes the blank after it along, to tell where sentences end.
+_WORD = re.compile(
+    f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+[ \t\n\r]?".encode("latin-1")
+)
+# Any other text is taken apart at white space alone, which the tokenizer drops.
 _PIECE = re.compile(r"[^ \t\n\r]+")
-_STOP = re.compile(r"[.!?][\"')\]]*$")
+_STOP = re.compile(rb"[.!?][\"')\]]*$")
 _ADDED = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+class _Numbers(dict):
+    """Numbers of pieces in order of their first lookup; ``new`` has those not encoded yet."""
+
+    def __init__(self):
+        self.new = []
+
+    def __missing__(self, piece):
+        self.new.append(piece)
+        number = self[piece] = len(self)
+        return number
+
+
 class Encoder:
-    """Ids of texts, piece by piece; a piece met again is not encoded again.
+    """Ids of texts from the ids of their pieces; a piece met again is not encoded again.
 
-    Only for tokenizers that split at white space and drop it, which is asked of the file.
+    Pieces are used where the file says that it drops white space and splits by the pattern above;
+    other tokenizers encode whole texts, without places of sentences.
     """
 
     def __init__(self, path: str):
@@ -56,57 +78,102 @@ class Encoder:
         self.by_piece = (
             steps[0].get("behavior") == "Removed"
             and steps[0].get("invert") is True
-            and {s.get("type") for s in steps[1:]} <= {"ByteLevel"}
-            and {s.get("type") for s in normal} <= {"NFC", "Replace", "Lowercase"}
+            and steps[0].get("pattern") == {"Regex": _PATTERN}
+            and [s.get("type") for s in steps[1:]] == ["ByteLevel"]
+            and [s.get("type") for s in normal] == ["NFC", "Replace", "Lowercase"]
         )
+        self.added = [t["content"] for t in config.get("added_tokens") or []]
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        self.merge, self.letters = self.model.model.tokenize, byte_letters()
         self._forget()
 
     def _forget(self):
-        self.known, self.bytes, self.used = {}, 0, 0
+        self.known, self.bytes, self.used = _Numbers(), 0, 0
         self.ids = np.zeros(1 << 16, np.uint32)
         self.first, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.stop = np.zeros(1 << 12, bool)
 
-    def _learn(self, pieces: list[str]):
-        for at in range(0, len(pieces), LEARN):
-            part = pieces[at : at + LEARN]
-            found = [code.ids for code in self.model.encode_batch_fast(part, add_special_tokens=False)]
-            count, sizes = len(self.known), [len(ids) for ids in found]
-            end = self.used + sum(sizes)
-            self.ids = _room(self.ids, end)
-            self.ids[self.used : end] = [x for ids in found for x in ids]
-            self.first, self.size, self.stop = (
-                _room(array, count + len(part)) for array in (self.first, self.size, self.stop)
-            )
-            new = slice(count, count + len(part))
-            self.size[new] = sizes
-            self.first[new] = self.used + np.cumsum(sizes) - sizes
-            self.stop[new] = [_STOP.search(piece) is not None for piece in part]
-            self.known.update(zip(part, range(count, count + len(part))))
-            self.used = end
-            self.bytes += 2 * sum(map(len, part)) + 4 * sum(sizes) + 200 * len(part)
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of a text, and the places after which a sentence ends."""
+    def _encoded(self, piece: bytes) -> list[int]:
+        """Ids of a word, which the merges take as it is, or of a piece of any text."""
+        if piece[0] == 0x20:
+            return self.model.encode(piece[1:].decode(), add_special_tokens=False).ids
+        word = piece.rstrip(b" \t\n\r")
+        if not word.isascii():
+            word = word.decode("latin-1").encode()
+        return [t.id for t in self.merge(word.decode("latin-1").translate(self.letters))]
+
+    def _learn(self):
+        pieces, self.known.new = self.known.new, []
+        found = [self._encoded(p) for p in pieces]
+        count, sizes = len(self.known) - len(pieces), [len(ids) for ids in found]
+        end = self.used + sum(sizes)
+        self.ids = _room(self.ids, end)
+        self.ids[self.used : end] = [x for ids in found for x in ids]
+        new = slice(count, count + len(pieces))
+        self.first, self.size, self.stop = (
+            _room(array, new.stop) for array in (self.first, self.size, self.stop)
+        )
+        self.size[new] = sizes
+        self.first[new] = self.used + np.cumsum(sizes) - sizes
+        self.stop[new] = [_ends_sentence(p) for p in pieces]
+        self.used = end
+        self.bytes += sum(map(len, pieces)) + 4 * sum(sizes) + 200 * len(pieces)
+
+    def _taken_apart(self, text: str) -> list[bytes]:
+        """Words of a text in Latin-1, else pieces between white space, in UTF-8 behind a space."""
+        if not any(t in text for t in self.added):
+            try:
+                return _WORD.findall(text.lower().encode("latin-1"))
+            except UnicodeEncodeError:
+                pass
+        return [b" " + piece.encode() for piece in _PIECE.findall(text)]
+
+    def encode(self, texts: pa.Array):
+        """The ids of each text, and the places after which a sentence ends, rising."""
         if not self.by_piece:
-            ids = self.model.encode(text, add_special_tokens=False).ids
-            return np.array(ids, np.uint32), np.zeros(0, np.int64)
-        pieces = _PIECE.findall(text)
+            for text in texts:
+                ids = self.model.encode(text.as_py() or "", add_special_tokens=False).ids
+                yield np.array(ids, np.uint32), np.zeros(0, np.int64)
+            return
+        group, bounds = [], [0]
+        for k in range(len(texts)):
+            group += self._taken_apart(texts[k].as_py() or "")
+            bounds.append(len(group))
+            if len(group) > PIECES or k + 1 == len(texts):
+                yield from self._group(group, bounds)
+                group, bounds = [], [0]
+
+    def _group(self, pieces: list[bytes], bounds: list[int]):
         if self.bytes > MEMORY:
             self._forget()
-        try:
-            number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        except KeyError:
-            self._learn([p for p in dict.fromkeys(pieces) if p not in self.known])
-            number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        sizes = self.size[number]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        places = np.repeat(self.first[number] - ends + sizes, sizes) + np.arange(total)
-        return self.ids[places], ends[self.stop[number]]
+        coded = pa.array(pieces, pa.binary()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        if self.known.new:
+            self._learn()
+        numbers = numbers[coded.indices.to_numpy()]
+        for a, b in zip(bounds, bounds[1:]):
+            number = numbers[a:b]
+            sizes = self.size[number]
+            ends = np.cumsum(sizes)
+            total = int(ends[-1]) if len(ends) else 0
+            places = np.repeat(self.first[number] - ends + sizes, sizes) + np.arange(total)
+            yield self.ids[places], ends[self.stop[number]]
+
+
+def _ends_sentence(piece: bytes) -> bool:
+    """Whether a piece, or a word with the blank behind it, closes a sentence."""
+    if piece[0] != 0x20 and piece[-1] not in b" \t\n\r":
+        return False
+    return _STOP.search(piece.rstrip(b" \t\n\r")) is not None
+
+
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """What this worker has learnt, kept between its tasks."""
+    return Encoder(path)
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
@@ -120,21 +187,21 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
 def places_to_cut(n: int, sentences: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Places 1..n of a document where a window may end, in order, and their penalties.
 
-    The place before the end id is left out; gaps of more than ``stride`` ids are filled.
+    ``sentences`` rises from above 0. The place before the end id is left out; gaps of more than ``stride`` ids are filled.
     """
-    marks = np.unique(sentences[(sentences > 0) & (sentences < n - 1)])
+    marks = sentences[: np.searchsorted(sentences, n - 1)]
     steps = np.concatenate([[0], marks, [n]])
     gaps = (np.diff(steps) - 1) // stride
+    places, cost = steps[1:], np.full(len(marks) + 1, SENTENCE)
+    cost[-1] = 0
     if gaps.any():
-        inner = np.repeat(steps[:-1], gaps) + stride * (
-            np.arange(gaps.sum()) - np.repeat(np.cumsum(gaps) - gaps, gaps) + 1
-        )
-    else:
-        inner = np.zeros(0, np.int64)
-    places = np.concatenate([marks, inner, [n]]).astype(np.int64)
-    cost = np.concatenate([np.full(len(marks), SENTENCE), np.full(len(inner), INSIDE), [0]])
-    order = np.argsort(places, kind="stable")
-    return places[order], cost[order]
+        wide = np.nonzero(gaps)[0]
+        gaps = gaps[wide]
+        turn = np.arange(gaps.sum()) - np.repeat(np.cumsum(gaps) - gaps, gaps) + 1
+        inner = np.repeat(steps[wide], gaps) + stride * turn
+        where = np.repeat(wide, gaps)
+        places, cost = np.insert(places, where, inner), np.insert(cost, where, INSIDE)
+    return places, cost
 
 
 def cheapest_cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> tuple[list[int], int]:
@@ -246,7 +313,7 @@ def pack(
         import public_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer if os.sep in tokenizer else public_tokenizers.path(tokenizer))
+        encoder = _encoder(tokenizer if os.sep in tokenizer else public_tokenizers.path(tokenizer))
         sequence = TaskContext.get().partitionId() << 33
         held, rows, now = [], 0, _Run()
 
@@ -263,8 +330,7 @@ def pack(
             kept = pa.RecordBatch.from_arrays(batch.columns[: len(keep)], names[: len(keep)])
             held.append(kept)
             base, rows = rows, rows + len(kept)
-            for k in range(len(texts)):
-                ids, sentences = encoder.encode(texts[k].as_py() or "")
+            for k, (ids, sentences) in enumerate(encoder.encode(texts)):
                 ids = np.append(ids, np.uint32(end_id))
                 places, costs = places_to_cut(len(ids), sentences)
                 done = 0
