@@ -1,13 +1,15 @@
 """Transform queries with their check SQL."""
 
+import math
+
 from pyspark.sql import functions as F
 
+from aeromosaic.functions import solve
 from aeromosaic.functions.ordering import settle
 from aeromosaic.operators import transform as tr
 from aeromosaic.plans import match_queries as mq
 from aeromosaic.plans import workload as wl
 
-TRIALS = tr.FIRST_TRIALS
 
 
 def _correspondences(spark, sf_dir):
@@ -15,8 +17,13 @@ def _correspondences(spark, sf_dir):
     return tr.correspondences(best, mq.matches(spark, sf_dir), wl.keypoints(spark, sf_dir))
 
 
-def _affine(spark, sf_dir):
-    return tr.affine_ransac(wl.line_correspondences(spark, sf_dir))
+def _lines(spark, sf_dir, hard=False):
+    """Correspondences are read by several steps, so they are derived once."""
+    return settle(wl.line_correspondences(spark, sf_dir, hard))
+
+
+def _affine(spark, sf_dir, hard=False):
+    return tr.affine_ransac(_lines(spark, sf_dir, hard))
 
 
 def _entries(df, *columns):
@@ -26,20 +33,22 @@ def _entries(df, *columns):
 
 
 def _homography(spark, sf_dir):
-    points = wl.line_correspondences(spark, sf_dir)
+    points = settle(wl.tilted_correspondences(spark, sf_dir))
     found = tr.homography_ransac(points)
-    better = tr.refit(points, found, "homography")
-    whole = [F.round(F.col("h")[k]).cast("int").alias(f"h{k}") for k in range(8)]
-    return better.select("i", "j", *whole)
+    better = tr.refit(points, found, "homography").withColumnRenamed("h", "refined")
+    h = F.col("refined")
+    whole = [(F.round(h[k] * (1e6 if k > 5 else 1), 0 if k > 5 else 4) + 0.0).alias(f"h{k}") for k in range(8)]
+    return found.join(better, ["i", "j"]).select("i", "j", "n_inliers", *whole)
 
 
 def _stats(spark, sf_dir):
-    return tr.inlier_stats(wl.line_correspondences(spark, sf_dir), _affine(spark, sf_dir))
+    points = _lines(spark, sf_dir)
+    return tr.inlier_stats(points, tr.affine_ransac(points))
 
 
 def _refit(spark, sf_dir):
-    points = wl.line_correspondences(spark, sf_dir)
-    return _entries(tr.refit(points, _affine(spark, sf_dir), "affine"))
+    points = _lines(spark, sf_dir)
+    return _entries(tr.refit(points, tr.affine_ransac(points), "affine"))
 
 
 def _choose(spark, sf_dir):
@@ -74,6 +83,7 @@ def _split(spark, sf_dir):
 QUERIES = {
     "t1_correspondences": _correspondences,
     "t2_affine_ransac": lambda s, d: _entries(_affine(s, d), "trial", "n_inliers"),
+    "t2_affine_hard": lambda s, d: _entries(_affine(s, d, hard=True), "trial", "n_inliers"),
     "t3_homography_ransac": _homography,
     "t4_refit": _refit,
     "t5_inlier_stats": _stats,
@@ -84,50 +94,93 @@ QUERIES = {
     "t8_split_at_breaks": _split,
 }
 
-_SEARCH = (
-    wl.CORRESPONDENCES_SQL
-    + f""",
-pool AS (
-  SELECT i, j, list([sx, sy, dx, dy] ORDER BY place) AS p, count(*) AS s
-  FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY m) AS place FROM corr)
-  GROUP BY i, j HAVING count(*) >= 3),
-places AS (
-  SELECT i, j, p, s, t, t % s AS b, 1 + (t * 5 + t // s) % (s - 1) AS o1
-  FROM pool CROSS JOIN (SELECT unnest(range({TRIALS})) AS t)),
-samples AS (
-  SELECT i, j, t, p[b + 1] AS p0, p[(b + o1) % s + 1] AS p1,
-         p[(b + 1 + (o1 + (t * 11 + t // s) % greatest(s - 2, 1)) % (s - 1)) % s + 1] AS p2
-  FROM places),
-edges AS (
+
+
+def _mixed(value, turn):
+    """The mixing steps of the draws on a column, in the same whole numbers."""
+    a, b, c = solve.FACTORS
+    x = f"(({value} * {a} + k * {b} + {turn * c + 11}) % {solve.PRIME})"
+    x = f"(({x} * {x} + k) % {solve.PRIME})"
+    x = f"(({x} * {a} + {turn}) % {solve.PRIME})"
+    return f"({x} * {x} % {solve.PRIME})"
+
+
+_PERMUTED = f"""SELECT i, j, s, t, d, k, a, b, y // b AS l0, y % b AS r0,
+    (l0 + {_mixed("r0", 0)}) % a AS l1, (r0 + {_mixed("l1", 1)}) % b AS r1,
+    (l1 + {_mixed("r1", 2)}) % a AS l2, (r1 + {_mixed("l2", 3)}) % b AS r2"""
+
+
+def _round(number, low, high, missed):
+    """Draws, hypotheses and scores of the trials low..high-1 of the pairs that still need them."""
+    wanted = "SELECT i, j, p, s FROM pool"
+    if number:
+        wanted += f" LEFT JOIN best{number - 1} USING (i, j) WHERE {missed}"
+    return f"""
+drawn{number} AS (
+  SELECT i, j, s, t, d, t // (s // 3) AS k, t % (s // 3) * 3 + d AS y,
+         CAST(ceil(sqrt(s)) AS BIGINT) AS a, (s + a - 1) // a AS b
+  FROM ({wanted}) CROSS JOIN (SELECT unnest(range({low}, {high})) AS t)
+       CROSS JOIN (SELECT unnest(range(3)) AS d)),
+walk{number} AS (
+  SELECT i, j, s, t, d, k, a, b, l2 * b + r2 AS y FROM ({_PERMUTED} FROM drawn{number})
+  UNION ALL
+  SELECT i, j, s, t, d, k, a, b, l2 * b + r2 AS y FROM ({_PERMUTED} FROM walk{number} WHERE y >= s)),
+samples{number} AS (
+  SELECT i, j, t, max(p[y + 1]) FILTER (d = 0) AS p0, max(p[y + 1]) FILTER (d = 1) AS p1,
+         max(p[y + 1]) FILTER (d = 2) AS p2
+  FROM walk{number} JOIN pool USING (i, j) WHERE y < walk{number}.s GROUP BY i, j, t),
+edges{number} AS (
   SELECT i, j, t, p0, p1[1] - p0[1] AS x1, p2[1] - p0[1] AS x2, p1[2] - p0[2] AS y1,
          p2[2] - p0[2] AS y2, p1[3] - p0[3] AS u1, p2[3] - p0[3] AS u2,
          p1[4] - p0[4] AS v1, p2[4] - p0[4] AS v2
-  FROM samples),
-linear AS (
+  FROM samples{number}),
+linear{number} AS (
   SELECT i, j, t, p0, (u1 * y2 - u2 * y1) / (x1 * y2 - x2 * y1) AS h0,
          (u2 * x1 - u1 * x2) / (x1 * y2 - x2 * y1) AS h1,
          (v1 * y2 - v2 * y1) / (x1 * y2 - x2 * y1) AS h3,
          (v2 * x1 - v1 * x2) / (x1 * y2 - x2 * y1) AS h4
-  FROM edges WHERE x1 * y2 - x2 * y1 <> 0),
-trial_h AS (
+  FROM edges{number} WHERE x1 * y2 - x2 * y1 <> 0),
+trial_h{number} AS (
   SELECT i, j, t, h0, h1, p0[3] - h0 * p0[1] - h1 * p0[2] AS h2, h3, h4,
          p0[4] - h3 * p0[1] - h4 * p0[2] AS h5
-  FROM linear),
-scored AS (
+  FROM linear{number}),
+scored{number} AS (
   SELECT i, j, t, any_value(h0) AS h0, any_value(h1) AS h1, any_value(h2) AS h2,
          any_value(h3) AS h3, any_value(h4) AS h4, any_value(h5) AS h5,
          count(*) FILTER ((h0*sx + h1*sy + h2 - dx) * (h0*sx + h1*sy + h2 - dx)
            + (h3*sx + h4*sy + h5 - dy) * (h3*sx + h4*sy + h5 - dy) <= 2.25::DOUBLE) AS n_inliers
-  FROM trial_h JOIN corr USING (i, j) GROUP BY i, j, t),
-fits AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY n_inliers DESC, t) AS best
-                 FROM scored) WHERE best = 1),
+  FROM trial_h{number} JOIN corr USING (i, j) GROUP BY i, j, t{
+    f" UNION ALL SELECT * FROM best{number - 1}" if number else ""}),
+best{number} AS (
+  SELECT i, j, t, h0, h1, h2, h3, h4, h5, n_inliers FROM (
+    SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY n_inliers DESC, t) AS rank FROM scored{number})
+  WHERE rank = 1)"""
+
+
+def _search(correspondences):
+    """Tables fits and close of the affine search over a table corr, round by round."""
+    ends = [tr.FIRST_TRIALS]
+    while ends[-1] < tr.MAX_TRIALS:
+        ends.append(min(ends[-1] * tr.GROWTH, tr.MAX_TRIALS))
+    share = "least(pow(coalesce(n_inliers, 0) / s, 3), 1 - 1e-12::DOUBLE)"
+    rounds = [
+        _round(r, low, high, f"{low} * ln(1 - {share}) > {math.log(1 - tr.CONFIDENCE)!r}::DOUBLE")
+        for r, (low, high) in enumerate(zip([0, *ends], ends))
+    ]
+    return f"""RECURSIVE {correspondences},
+pool AS (
+  SELECT i, j, list([sx, sy, dx, dy] ORDER BY m, sx, sy, dx, dy) AS p, count(*) AS s
+  FROM corr GROUP BY i, j HAVING count(*) >= 3),
+{",".join(rounds)},
+fits AS (SELECT * FROM best{len(ends) - 1}),
 close AS (
   SELECT i, j, sx, sy, dx, dy FROM fits JOIN corr USING (i, j)
   WHERE (h0*sx + h1*sy + h2 - dx) * (h0*sx + h1*sy + h2 - dx)
     + (h3*sx + h4*sy + h5 - dy) * (h3*sx + h4*sy + h5 - dy) <= 2.25::DOUBLE)
 """
-)
+
+
+_SEARCH = _search(wl.CORRESPONDENCES_SQL)
 _SIX = ", ".join(f"round(h{k}, 4) + 0.0::DOUBLE AS h{k}" for k in range(6))
 
 ORACLES = {
@@ -139,9 +192,11 @@ ORACLES = {
            JOIN kp a ON a.f = i AND a.k = q_kp JOIN kp b ON b.f = j AND b.k = t_kp""",
     ),
     "t2_affine_ransac": f"WITH {_SEARCH} SELECT i, j, t AS trial, n_inliers, {_SIX} FROM fits",
-    "t3_homography_ransac": f"""WITH {wl.CORRESPONDENCES_SQL}
-        SELECT DISTINCT i, j, 1 AS h0, 0 AS h1, i % 7 * 20 - 35 AS h2, 0 AS h3, 1 AS h4,
-               i % 5 * 3 AS h5, 0 AS h6, 0 AS h7 FROM corr""",
+    "t2_affine_hard": f"""WITH {_search(wl.HARD_CORRESPONDENCES_SQL)}
+        SELECT i, j, t AS trial, n_inliers, {_SIX} FROM fits""",
+    "t3_homography_ransac": f"""WITH {wl.TILTED_SQL}
+        SELECT i, j, n_inliers, {_SIX}, round(h6 * 1e6::DOUBLE, 0) + 0.0::DOUBLE AS h6,
+               round(h7 * 1e6::DOUBLE, 0) + 0.0::DOUBLE AS h7 FROM tilted""",
     "t4_refit": f"""WITH {_SEARCH},
         m AS (SELECT i, j, var_pop(sx) AS xx, var_pop(sy) AS yy, covar_pop(sx, sy) AS xy,
                 covar_pop(dx, sx) AS ux, covar_pop(dx, sy) AS uy, covar_pop(dy, sx) AS vx,

@@ -102,21 +102,70 @@ corr AS (
 """
 
 
-def line_correspondences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = read(spark, sf_dir, "lineitem").select(
+_HARD_STRAY = "(m * 7 + i) % 20 < 6 + list_extract([0, 6, 9, 11], i % 4 + 1)"
+HARD_CORRESPONDENCES_SQL = CORRESPONDENCES_SQL.replace("(m * 7 + i) % 10 < 3", _HARD_STRAY)
+
+_TILTED_STRAY = "(m * 7 + i) % 20 < CASE WHEN i % 8 = 0 THEN 14 ELSE 6 END"
+
+TILTED_SQL = f"""
+base AS (
+  SELECT CAST(l_suppkey AS INT) AS i, CAST(l_suppkey + 1 AS INT) AS j,
+         (l_orderkey * 10 + l_linenumber) * 1000003 + l_partkey AS m,
+         l_partkey % 600 AS sx, (l_orderkey * 7) % 450 AS sy, (l_suppkey % 7 - 3) / 40.0::DOUBLE AS k,
+         1 + l_suppkey % 3 / 50.0::DOUBLE AS s
+  FROM lineitem),
+truth AS (
+  SELECT i, j, count(*) FILTER (NOT ({_TILTED_STRAY})) AS n_inliers, any_value(s) AS s, any_value(k) AS k
+  FROM base GROUP BY i, j),
+tilted AS (
+  SELECT i, j, n_inliers, s * (1 - k * k) / (1 + k * k) AS h0, -s * 2 * k / (1 + k * k) AS h1,
+         CAST(i % 7 * 20 - 35 AS DOUBLE) AS h2, s * 2 * k / (1 + k * k) AS h3,
+         s * (1 - k * k) / (1 + k * k) AS h4, CAST(i % 5 * 3 AS DOUBLE) AS h5,
+         (i % 5 - 2) / 100000.0::DOUBLE AS h6, (i % 4 - 1) / 100000.0::DOUBLE AS h7
+  FROM truth)
+"""
+
+
+def _base(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").cast("int").alias("i"),
         (F.col("l_suppkey") + 1).cast("int").alias("j"),
         ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000003 + F.col("l_partkey")).alias("m"),
         (F.col("l_partkey") % 600).alias("sx"),
         (F.col("l_orderkey") * 7 % 450).alias("sy"),
     )
+
+
+def _stray(hard: bool):
+    """Which correspondences are wrong: 3 in 10, or by pair 6, 12, 15 or 17 in 20."""
+    i, m = F.col("i"), F.col("m")
+    if not hard:
+        return (m * 7 + i) % 10 < 3
+    more = F.when(i % 4 == 0, 0).when(i % 4 == 1, 6).when(i % 4 == 2, 9).otherwise(11)
+    return (m * 7 + i) % 20 < 6 + more
+
+
+def tilted_correspondences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs under a known rotation, scale and perspective; wrong correspondences miss by 5 pixels at least."""
+    i, m, sx, sy = (F.col(c) for c in ("i", "m", "sx", "sy"))
+    k, s = (i % 7 - 3) / 40, 1 + i % 3 / 50
+    cos, sin = s * (1 - k * k) / (1 + k * k), s * 2 * k / (1 + k * k)
+    depth = (i % 5 - 2) / 100000 * sx + (i % 4 - 1) / 100000 * sy + 1
+    stray = (m * 7 + i) % 20 < F.when(i % 8 == 0, 14).otherwise(6)
+    true, wrong = (cos * sx - sin * sy + (i % 7 * 20 - 35)) / depth, (sx * 13 + m % 1000 * 29) % 600
+    dx = F.when(stray, F.when(F.abs(wrong - true) < 5, wrong + 60).otherwise(wrong)).otherwise(true)
+    dy = F.when(stray, (sy * 11 + m % 1000 * 31) % 450).otherwise((sin * sx + cos * sy + i % 5 * 3) / depth)
+    spots = zip((sx, sy, dx, dy), ("sx", "sy", "dx", "dy"))
+    return _base(spark, sf_dir).select("i", "j", "m", *[c.cast("double").alias(n) for c, n in spots])
+
+
+def line_correspondences(spark: SparkSession, sf_dir: str, hard: bool = False) -> DataFrame:
     i, m, sx, sy = (F.col(c) for c in ("i", "m", "sx", "sy"))
-    stray = (m * 7 + i) % 10 < 3
+    stray = _stray(hard)
     dx = F.when(stray, (sx * 13 + m % 1000 * 29) % 600).otherwise(sx + i % 7 * 20 - 35)
     dy = F.when(stray, (sy * 11 + m % 1000 * 31) % 450).otherwise(sy + i % 5 * 3)
-    return base.select(
-        "i", "j", "m", *[c.cast("double").alias(n) for c, n in zip((sx, sy, dx, dy), ("sx", "sy", "dx", "dy"))]
-    )
+    spots = zip((sx, sy, dx, dy), ("sx", "sy", "dx", "dy"))
+    return _base(spark, sf_dir).select("i", "j", "m", *[c.cast("double").alias(n) for c, n in spots])
 
 
 # --- links: the events of a user are the links of one strip ---

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aeromosaic.functions import ordering
+from aeromosaic.functions import ordering, solve
 from aeromosaic.operators import chain as ch
 from aeromosaic.operators import match as mt
 from aeromosaic.operators import pairs as pr
@@ -183,3 +183,51 @@ def test_compose_equals_running_product(spark):
     assert [p.frame_idx for p in poses] == list(range(7, 8 + n))
     assert poses[0].h == [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0]
     assert np.allclose([p.h for p in poses[1:]], want, rtol=1e-9)
+
+
+def test_places_are_permuted_and_drawn_evenly():
+    for size, count in ((3, 3), (4, 4), (10, 3), (601, 4), (2000, 4)):
+        x = np.arange(size)
+        for key in (0, 1, 12345):
+            same = np.full(size, size, np.int64)
+            assert sorted(solve.permuted(x.copy(), same, same * 0 + key)) == list(range(size))
+        places = solve.sample_places(np.arange(4 * (size // count)), size, count)
+        assert all(len(set(row)) == count for row in places.tolist())
+        drawn = np.bincount(places.ravel(), minlength=size)
+        assert drawn.max() <= 4 and drawn.sum() == places.size
+    first = solve.sample_places(np.arange(256), 2000, 4)
+    assert len(np.unique(first)) == 1024
+    a, b = first[:, 0], first[:, 1]
+    assert abs(np.corrcoef(a, b)[0, 1]) < 0.2
+
+
+def test_homographies_have_the_least_reprojection_error(spark):
+    draw = np.random.default_rng(3)
+    truth = np.array([[1.05, -0.12, 20], [0.1, 0.97, -8], [4e-5, -6e-5, 1]])
+    rows, sets = [], {}
+    for i in range(3):
+        xy = draw.uniform(0, 600, (80, 2))
+        whole = np.c_[xy, np.ones(80)] @ truth.T
+        uv = whole[:, :2] / whole[:, 2:] + draw.normal(0, 0.3, (80, 2))
+        sets[i] = xy, uv
+        rows += [(i, i + 1, k, *map(float, (*xy[k], *uv[k]))) for k in range(80)]
+    points = spark.createDataFrame(rows, "i int, j int, m long, sx double, sy double, dx double, dy double")
+    start = spark.createDataFrame(
+        [(i, i + 1, truth.ravel().tolist()) for i in range(3)], "i int, j int, h array<double>"
+    )
+    found = {r.i: np.array(r.h) for r in tr.refit(points, start, "homography", 100.0).collect()}
+
+    def error(h, xy, uv):
+        whole = np.c_[xy, np.ones(len(xy))] @ np.append(h, 1).reshape(3, 3).T
+        return (whole[:, :2] / whole[:, 2:] - uv).ravel()
+
+    for i, (xy, uv) in sets.items():
+        h = truth.ravel()[:8].copy()
+        unit = np.array([1, 1, 100, 1, 1, 100, 1e-3, 1e-3])
+        for _ in range(50):  # Gauss-Newton on all points with differences for derivatives
+            now = error(h, xy, uv)
+            jac = np.stack([(error(h + 1e-6 * unit * e, xy, uv) - now) / 1e-6 for e in np.eye(8)], 1)
+            h = h - unit * np.linalg.lstsq(jac, now, rcond=None)[0]
+        assert np.abs((found[i][:8] - h) / unit).max() < 1e-6
+        least = (error(h, xy, uv) ** 2).sum()
+        assert abs((error(found[i][:8], xy, uv) ** 2).sum() - least) < 1e-9 * least
