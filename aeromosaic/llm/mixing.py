@@ -3,12 +3,15 @@
 A softmax classifier learned from the table of labels gives every document posteriors over the domains
 ``high``, ``low`` (quality) and ``toxic``. Rates r >= 0 minimise
 
-    1/2 sum_k ((sum_d r_d n_d p_dk - t_k) / N)^2 + PULL / 2 sum_d n_d / N (r_d - 1)^2
+    1/2 sum_k ((sum_d r_d n_d p_dk - t_k) / N)^2 / s_k + PULL / 2 sum_d n_d / N (r_d - 1)^2
 
-with n_d tokens, posteriors p_dk, targets t_k and N tokens in all. The dual has one number per domain:
-r_d = max(0, 1 - p_d . l), and Newton steps on l go on until the condition of every domain holds within
-TOLERANCE of the domain's own share of the tokens; if ROUNDS steps don't get there, an error tells.
-Each step is one aggregate over a small table of numbers; only sums of the domains reach the driver.
+with n_d tokens, posteriors p_dk, targets t_k, N tokens in all and s_k the share that domain k has of
+them, so that a rare domain counts as much as a common one. Projected gradient steps with the
+projection taken last: l adds up the gradients of the domains, the rates are 1 - p_d . l where that is not
+negative, else 0. Since posteriors sum to one, steps of length one can't overshoot. Accelerated, they go on until
+every domain's condition holds within TOLERANCE of its share; if ROUNDS steps don't get there, a
+warning tells what is left. Each step is one aggregate over a small table of numbers; only sums of the
+domains reach the driver.
 
 The classifier is fitted on at most SAMPLE labelled documents, those with the smallest hash of their
 id; this bound is the only sampling. A document with several labels is toxic if any says so and of
@@ -19,6 +22,7 @@ Repeated rows are mixed one by one; empty tables and further columns of any name
 
 import pickle
 import string
+import warnings
 from collections import Counter
 from dataclasses import dataclass
 
@@ -28,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeromosaic.functions.ordering import settle, settle_marked, top_n
-from aeromosaic.llm.texts import letter_words, map_texts, table
+from aeromosaic.functions.ordering import settle, top_n
+from aeromosaic.llm.texts import letter_words, map_texts, named, table
 
 DOMAINS = ["high", "low", "toxic"]
 #: Share of tokens of each domain after mixing.
@@ -40,9 +44,9 @@ SAMPLE = 10_000  # labelled documents that the classifier is fitted on
 VOCABULARY = 600  # words that tell domains apart
 LEAST_DOCS = 5
 STEPS, RATE, DECAY = 200, 2.0, 1e-4
-PULL = 1e-3
-ROUNDS, TOLERANCE = 200, 1e-6  # the residual left is relative to each domain's share; noise is of rounding
-ARMIJO, NOISE = 1e-4, 1e-12
+PULL = 1e-2  # a domain misses its target by about this much of its share
+ROUNDS, TOLERANCE = 400, 1e-6  # the residual left is relative to each domain's share
+NOISE = 1e-12  # of rounding
 _CAPITALS, _DIGITS = string.ascii_uppercase.encode(), string.digits.encode()
 _MARKS, _SPACES = string.punctuation.encode(), string.whitespace.encode()
 _STYLES = 7
@@ -98,27 +102,10 @@ class Classifier:
         return z / z.sum(1, keepdims=True)
 
 
-def _telling(texts, y) -> dict[bytes, int]:
-    """The words whose presence depends most on the domain (chi-square), numbered."""
-    seen = [Counter() for _ in DOMAINS]
-    for text, k in zip(texts, y, strict=True):
-        seen[k].update(set(letter_words(text)))
-    words = [w for w, n in sum(seen, Counter()).items() if n >= LEAST_DOCS]
-    if not words:
-        return {}
-    n = np.array([[found[w] for found in seen] for w in words], float)
-    share = np.bincount(y, minlength=len(DOMAINS)) / len(y)
-    expected = n.sum(1, keepdims=True) * share
-    with np.errstate(divide="ignore", invalid="ignore"):
-        score = np.nan_to_num((n - expected) ** 2 / expected).sum(1)
-    best = sorted(range(len(words)), key=lambda i: (-score[i], words[i]))[:VOCABULARY]
-    return {words[i]: k for k, i in enumerate(best)}
-
-
-def learn(texts: list[str | None], y: np.ndarray) -> Classifier:
-    """Softmax regression by accelerated gradient steps."""
-    model = Classifier(_telling(texts, y), np.zeros(_STYLES), np.ones(_STYLES), np.zeros((0, 0)))
-    x, _ = model.features(texts)
+def learn(words: list[str], raw: np.ndarray, y: np.ndarray) -> Classifier:
+    """Softmax regression on raw features of documents by accelerated gradient steps."""
+    model = _unfitted(words)
+    x = raw.astype(np.float64)
     styles = x[:, -_STYLES - 1 : -1]
     model.mean, model.scale = styles.mean(0), np.maximum(styles.std(0), 1e-6)
     x[:, -_STYLES - 1 : -1] = (styles - model.mean) / model.scale
@@ -135,6 +122,40 @@ def learn(texts: list[str | None], y: np.ndarray) -> Classifier:
     return model
 
 
+def _unfitted(words: list[str]) -> Classifier:
+    numbers = {w.encode(): k for k, w in enumerate(words)}
+    return Classifier(numbers, np.zeros(_STYLES), np.ones(_STYLES), np.zeros((0, 0)))
+
+
+def telling_words(rows: DataFrame) -> list[str]:
+    """The words whose presence in rows (text, domain) depends most on the domain, by chi-square."""
+    sizes = {r["domain"]: r["m"] for r in rows.groupBy("domain").agg(F.count("*").alias("m")).collect()}
+    total = sum(sizes.values())
+
+    def present(batches):
+        for batch in batches:
+            seen = Counter()
+            for text, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen.update((w, k) for w in set(letter_words(text)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([w.decode() for w, _ in seen], pa.string()),
+                    pa.array([k for _, k in seen], pa.int32()),
+                    pa.array(list(seen.values()), pa.int64()),
+                ],
+                ["word", "domain", "n"],
+            )
+
+    n = [F.sum(F.when(F.col("domain") == k, F.col("n")).otherwise(0)).alias(f"n_{k}") for k in sizes]
+    counted = rows.select("text", "domain").mapInArrow(present, "word string, domain int, n long").groupBy("word").agg(
+        F.sum("n").alias("n"), *n
+    )
+    parts = [F.pow(F.col(f"n_{k}") - F.col("n") * (m / total), 2) / (F.col("n") * (m / total)) for k, m in sizes.items()]
+    score = F.round(sum(parts, F.lit(0.0)), 9)
+    best = counted.where(F.col("n") >= LEAST_DOCS).orderBy(score.desc(), "word").limit(VOCABULARY)
+    return [r["word"] for r in best.select("word").collect()]
+
+
 def labelled_domains(labels: DataFrame) -> DataFrame:
     """(doc_id, domain number) of every labelled id."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
@@ -150,13 +171,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier
     some = top_n(some, ["all"], ["order", "doc_id"], sample, "rank").select("doc_id", "domain")
     # at most ``sample`` small rows, so they may be sent to every task
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    rows = rows.dropDuplicates(["doc_id"]).select("text", "domain", F.lit(0).alias("all"))
+    rows = settle(rows.dropDuplicates(["doc_id"]).select("text", "domain"))
+    words = telling_words(rows)
+
+    def features(batches):
+        plain = _unfitted(words)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for at in range(0, len(texts), 512):
+                x, _ = plain.features(texts[at : at + 512])
+                offsets = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.float32).ravel()))
+                yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(at, 512)], ["x", "domain"])
 
     def train(rows):
-        model = learn([t if isinstance(t, str) else None for t in rows["text"]], rows["domain"].to_numpy())
+        model = learn(words, np.stack(rows["x"].to_numpy()), rows["domain"].to_numpy())
         return pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    fitted = rows.groupBy("all").applyInPandas(train, "model binary").collect()
+    # one group of ``sample`` rows of fixed size, whatever the texts are
+    seen = rows.mapInArrow(features, "x array<float>, domain int").withColumn("all", F.lit(0))
+    fitted = seen.groupBy("all").applyInPandas(train, "model binary").collect()
     if not fitted:
         return None
     return pickle.loads(fitted[0]["model"])
@@ -206,75 +240,57 @@ def _rate(p: list, dual: list[float]):
     return F.greatest(F.lit(0.0), F.lit(1.0) - sum((x * F.lit(float(v)) for x, v in zip(p, dual, strict=True)), F.lit(0.0)))
 
 
-def _dual(scored: DataFrame, total: float, share: np.ndarray, aim: np.ndarray) -> list[float]:
-    """Maximises - PULL / 2 |l|^2 - aim . l - 1/2 sum_d n_d / N max(0, 1 - p_d . l)^2 by Newton steps."""
-    p = [F.col(f"p_{k}") for k in range(len(DOMAINS))]
-    pairs = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
-
-    def look(at):
-        """The value at ``at``, its slope, and minus its curvature."""
-        rate = F.col("rate")
-        held = scored.select((F.col("n_tokens") / F.lit(total)).alias("n"), *p, _rate(p, at).alias("rate"))
-        moving = F.when(rate > 0, F.col("n")).otherwise(0.0)
-        sums = held.agg(
-            F.sum(F.col("n") * rate * rate),
-            *[F.sum(F.col("n") * rate * x) for x in p],
-            *[F.sum(moving * p[i] * p[j]) for i, j in pairs],
-        ).first()
-        curve = PULL * np.eye(len(p))
-        for (i, j), x in zip(pairs, sums[1 + len(p) :], strict=True):
-            curve[i, j] += x
-            curve[j, i] = curve[i, j]
-        slope = np.array(sums[1 : 1 + len(p)]) - aim - PULL * at
-        return -(PULL * at @ at + sums[0]) / 2 - aim @ at, slope, curve
-
-    at, length = np.zeros(len(p)), 1.0
-    value, slope, curve = look(at)
-    step = np.linalg.solve(curve, slope)
-    for _ in range(ROUNDS):
-        if (np.abs(slope) <= TOLERANCE * share + NOISE * (aim + PULL * np.abs(at))).all():
-            return at.tolist()
-        new = at + length * step
-        seen = look(new)
-        if seen[0] < value + ARMIJO * length * (slope @ step) - NOISE * abs(value):
-            length /= 2
-            continue
-        at, (value, slope, curve), length = new, seen, 1.0
-        step = np.linalg.solve(curve, slope)
-    raise RuntimeError(f"mixing rates did not converge in {ROUNDS} steps: residuals {slope.tolist()}, shares {share.tolist()}")
-
+def _gradients(scored: DataFrame, total: float, share: np.ndarray, aim: np.ndarray) -> list[float]:
+    """The sum l of projected gradient steps on the rates, begun at rate 1 for all documents.
 
-def solve(scored: DataFrame, targets: dict[str, float | None]) -> DataFrame:
-    """``scored`` (n_tokens, p_0, ...; settled) with the rate of every row."""
+    Steps look ahead along the last one (Nesterov), and afresh where that led the wrong way.
+    """
     p = [F.col(f"p_{k}") for k in range(len(DOMAINS))]
+    weight = np.where(share > 0, 1 / np.maximum(share, 1e-300), 0)
+    at = ahead = np.zeros(len(p))
+    run = 0
+    for _ in range(ROUNDS):
+        held = scored.select((F.col("n_tokens") / F.lit(total)).alias("n"), *p, _rate(p, ahead).alias("rate"))
+        sums = held.agg(*[F.sum(F.col("n") * F.col("rate") * x) for x in p]).first()
+        left = weight * (np.array(sums) - aim) - PULL * ahead
+        if (np.abs(left) <= TOLERANCE + NOISE * (weight * aim + PULL * np.abs(ahead))).all():
+            return ahead.tolist()
+        new = ahead + left / (1 + PULL)
+        run = run + 1 if (share * left) @ (new - at) >= 0 else 0
+        at, ahead = new, new + run / (run + 3) * (new - at)
+    warnings.warn(f"mixing rates after {ROUNDS} steps: relative residuals {left.tolist()}", stacklevel=2)
+    return at.tolist()
+
+
+def _steps(scored: DataFrame, targets: dict[str, float | None]) -> list[float]:
     tokens = F.col("n_tokens").cast("double")
-    first = scored.agg(F.sum(tokens), *[F.sum(tokens * x) for x in p]).first()
+    first = scored.agg(F.sum(tokens), *[F.sum(tokens * F.col(f"p_{k}")) for k in range(len(DOMAINS))]).first()
     total, natural = first[0] or 0.0, [x or 0.0 for x in first[1:]]
     if not total:
-        return scored.withColumn("rate", F.lit(1.0))
+        return [0.0] * len(DOMAINS)
     wanted = shares(targets, natural)
     # as many tokens as the domains that are wanted have now
     budget = sum(n for n, w in zip(natural, wanted, strict=True) if w > 0) / total
-    dual = _dual(scored, total, np.array(natural) / total, budget * np.array(wanted))
-    return scored.withColumn("rate", _rate(p, dual))
+    return _gradients(scored, total, np.array(natural) / total, budget * np.array(wanted))
+
 
+def solve(scored: DataFrame, targets: dict[str, float | None]) -> DataFrame:
+    """``scored`` (n_tokens, p_0, ...; settled) with the rate of every row."""
+    p = [F.col(f"p_{k}") for k in range(len(DOMAINS))]
+    return scored.withColumn("rate", _rate(p, _steps(scored, targets)))
 
-def domain_rates(targets: dict[str, float | None], natural: list[float]) -> list[float]:
-    """Tokens wanted of each domain over those it has; the open domains have one rate.
 
-    With open targets beside zeros these are 1 and 0, whatever the natural shares are.
-    """
-    if not any(targets.get(d) for d in DOMAINS):
-        return [1.0 if targets.get(d) is None else 0.0 for d in DOMAINS]
-    wanted = shares(targets, natural)
-    budget = sum(n for n, w in zip(natural, wanted, strict=True) if w > 0)
-    open_ = [k for k, d in enumerate(DOMAINS) if targets.get(d) is None]
-    out = []
-    for k in range(len(DOMAINS)):
-        group = open_ if k in open_ else [k]
-        want, have = budget * sum(wanted[i] for i in group), sum(natural[i] for i in group)
-        out.append(want / have if have else float(k in open_ or wanted[k] > 0))
-    return out
+def memberships(p: list, targets: dict[str, float | None]) -> list:
+    """Full membership of one domain: an unwanted one that has over half, else the likeliest of the others."""
+    wanted = [k for k, d in enumerate(DOMAINS) if targets.get(d) != 0.0]
+    unwanted = [k for k in range(len(DOMAINS)) if k not in wanted]
+    number = F.lit(wanted[0] if wanted else 0)
+    best = p[wanted[0]] if wanted else F.lit(0.0)
+    for k in wanted[1:]:
+        number, best = F.when(p[k] > best, k).otherwise(number), F.greatest(p[k], best)
+    for k in unwanted:
+        number = F.when(p[k] > 0.5, k).otherwise(number)
+    return [F.when(number == k, 1.0).otherwise(0.0) for k in range(len(DOMAINS))]
 
 
 def _named(scored: DataFrame, keep: list[str]) -> DataFrame:
@@ -303,19 +319,17 @@ def mixed(
 def wanted_documents(
     docs: DataFrame, labels: DataFrame, targets: dict[str, float | None] = NATURAL, sample: int = SAMPLE
 ) -> DataFrame:
-    """The documents that are worth half a copy or more, once each, with their own columns.
+    """The documents whose rate is half a copy or more, once each, with their own columns.
 
-    A document is worth the mean of its domains' rates under its own posteriors, so that which side of
-    the cut it is on doesn't depend on how much unwanted text the other documents hold.
+    Rates are solved for full memberships, so that which side of the cut a document is on follows from its
+    own posteriors and the targets, not from how much unwanted text the other documents hold.
     """
+    scored = settle(posteriors(docs, docs.columns, fit(docs, labels, sample)))
     p = [F.col(f"__p_{k}") for k in range(len(DOMAINS))]
-    tokens = F.col("__n_tokens").cast("double")
-    marked, natural = settle_marked(
-        posteriors(docs, docs.columns, fit(docs, labels, sample)), *[F.sum(tokens * x) for x in p]
-    )
-    rates = domain_rates(targets, [x or 0.0 for x in natural])
-    worth = sum((x * F.lit(r) for x, r in zip(p, rates, strict=True)), F.lit(0.0))
-    return marked.where(worth >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    one = memberships(p, targets)
+    numbers = scored.select(F.col("__n_tokens").alias("n_tokens"), *[x.alias(f"p_{k}") for k, x in enumerate(one)])
+    rate = _rate(one, _steps(numbers, targets))
+    return scored.where(rate >= 0.5).select(*[named(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,12 @@ def test_planted_toxic_documents_go_and_clean_ones_stay(shipped, toxic):
     assert len(kept) == clean
 
 
-def test_other_documents_don_t_decide(shipped):
-    assert mixing.domain_rates(mixing.NATURAL, [800.0, 199.0, 1.0]) == [1.0, 1.0, 0.0]
-    assert mixing.domain_rates(mixing.NATURAL, [0.0, 0.0, 0.0]) == [1.0, 1.0, 0.0]
-    assert mixing.domain_rates(mixing.TARGETS, [60.0, 40.0, 100.0]) == pytest.approx([1.25, 0.625, 0.0])
+def test_memberships(shipped):
+    rows = [(0.7, 0.2, 0.1), (0.3, 0.25, 0.45), (0.2, 0.2, 0.6), (0.1, 0.4, 0.5), (0.4, 0.4, 0.2)]
+    table = shipped.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a double, b double, c double")
+    one = mixing.memberships([mixing.F.col(c) for c in "abc"], mixing.NATURAL)
+    found = table.orderBy("k").select(*[x.alias(f"p_{k}") for k, x in enumerate(one)]).collect()
+    assert [tuple(r).index(1.0) for r in found] == [0, 0, 2, 1, 0] and {sum(r) for r in found} == {1.0}
 
 
 @pytest.mark.parametrize("mass", [0.1, 0.002, 1e-5])
@@ -42,11 +44,11 @@ def test_rates_meet_the_condition_of_the_optimum(shipped, mass, targets):
     natural = n @ p / n.sum()
     wanted = np.array(mixing.shares(targets, list(natural)))
     left = (n * rate) @ p / n.sum() - natural[:2].sum() * wanted
-    assert np.abs(rate - np.maximum(0, 1 - p @ left / mixing.PULL)).max() < 0.01
+    assert np.abs(rate - np.maximum(0, 1 - p @ (left / natural) / mixing.PULL)).max() < 0.01
 
 
-def test_rates_that_do_not_converge_are_an_error(shipped, monkeypatch):
+def test_rates_that_do_not_converge_are_told(shipped, monkeypatch):
     monkeypatch.setattr(mixing, "ROUNDS", 1)
     scored = shipped.createDataFrame([(9, 0.1, 0.2, 0.7), (9, 0.8, 0.2, 0.0)], "n_tokens long, p_0 double, p_1 double, p_2 double")
-    with pytest.raises(RuntimeError, match="converge"):
-        mixing.solve(scored, mixing.TARGETS)
+    with pytest.warns(UserWarning, match="relative residuals"):
+        assert mixing.solve(scored, mixing.TARGETS).count() == 2
