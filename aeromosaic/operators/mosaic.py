@@ -7,11 +7,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aeromosaic.functions.geometry import apply_transform, invertible, matmul
+from aeromosaic.functions.geometry import apply_transform, bound, invertible, matmul
 from aeromosaic.functions.ordering import attach, settle, settle_marked, spread
 from aeromosaic.functions.raster import as_image, bilinear, label_regions, per_row
 
 TILE = 512
+NEAR = 1e-6  # depth, 1 at a frame that is seen from above, below which a frame is cut off
+_SLACK = 1e-6
+INT_MAX = 2**31 - 1
 CROWD = 64  # patches on one tile that a single task adds up
 _UNIT = float(1 << 20)  # sums are kept in whole units, so their order does not matter
 _TILE = ["strip_id", "tx", "ty"]
@@ -23,8 +26,8 @@ _MOSAIC = pa.schema(
 
 
 def _whole(value: Column) -> Column:
-    """To int, cutting towards zero, kept within the range of an int."""
-    return F.greatest(F.least(value, F.lit(2e9)), F.lit(-2e9)).cast("int")
+    """To int, cutting towards zero; what doesn't fit is flagged by the caller."""
+    return F.greatest(F.least(value, F.lit(float(INT_MAX - 1))), F.lit(float(1 - INT_MAX))).cast("int")
 
 
 def footprints(frames: DataFrame, poses: DataFrame) -> DataFrame:
@@ -53,7 +56,8 @@ def canvas(corners: DataFrame, max_side: int = None, refuse_side: int = None) ->
 
     Bounds are cut towards zero after widening by half a pixel. A canvas over
     max_side is scaled down as a whole (the canvas, not the frames); one that is
-    still over refuse_side is flagged. Without limits, the default, nothing is.
+    still over refuse_side is flagged. Without limits, the default, only a canvas is
+    flagged whose bounds are no numbers or don't fit an int.
     """
     raw = corners.groupBy("strip_id").agg(
         F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy")
@@ -72,6 +76,9 @@ def canvas(corners: DataFrame, max_side: int = None, refuse_side: int = None) ->
         scale = F.least(F.lit(1.0), F.lit(float(max_side)) / w, F.lit(float(max_side)) / h)
         scale = F.when((w > max_side) | (h > max_side), scale).otherwise(F.lit(1.0))
     sized = raw.withColumn("scale", scale)
+    ends = [F.abs(F.col("scale") * F.col(c)) < INT_MAX - 1 for c in ("lx", "hx", "ly", "hy")]
+    fits = ends[0] & ends[1] & ends[2] & ends[3]
+    sized = sized.withColumn("fits", F.coalesce(fits, F.lit(False)))
     (x, y), (x2, y2) = bounds(F.col("scale"))
     sized = sized.select(
         "strip_id",
@@ -80,15 +87,18 @@ def canvas(corners: DataFrame, max_side: int = None, refuse_side: int = None) ->
         (x2.cast("long") - x).alias("w"),
         (y2.cast("long") - y).alias("h"),
         "scale",
+        "fits",
     )
     w, h = F.col("w"), F.col("h")
-    refused = F.lit(False) if refuse_side is None else (w > refuse_side) | (h > refuse_side)
+    refused = ~F.col("fits") | (w > INT_MAX) | (h > INT_MAX)
+    if refuse_side is not None:
+        refused = refused | (w > refuse_side) | (h > refuse_side)
     return sized.select(
         "strip_id",
         "x_min",
         "y_min",
-        F.least(w, F.lit(2**31 - 1)).cast("int").alias("width"),
-        F.least(h, F.lit(2**31 - 1)).cast("int").alias("height"),
+        F.least(w, F.lit(INT_MAX)).cast("int").alias("width"),
+        F.least(h, F.lit(INT_MAX)).cast("int").alias("height"),
         "scale",
         (w * h * 12).alias("est_bytes"),
         refused.alias("refused"),
@@ -126,38 +136,92 @@ def pose_status(poses: DataFrame, canvases: DataFrame) -> DataFrame:
     return listed.select("strip_id", "frame_idx", status.alias("status"))
 
 
+def facing(h: Column, width: Column, height: Column) -> Column:
+    """The same projective map with positive depth at the centre of its frame."""
+    depth = h[6] * (width / 2.0) + h[7] * (height / 2.0) + h[8]
+    return F.when(depth < 0, F.transform(h, lambda v: -v)).otherwise(h)
+
+
+def _visible(h: Column, corners: list) -> Column:
+    """The image of a quad as a convex polygon, cut where its depth would be below NEAR."""
+    points = F.array(
+        *[
+            F.struct(
+                (h[0] * x + h[1] * y + h[2]).alias("x"),
+                (h[3] * x + h[4] * y + h[5]).alias("y"),
+                (h[6] * x + h[7] * y + h[8]).alias("d"),
+            )
+            for x, y in corners
+        ]
+    )
+
+    def flat(x, y, d):
+        return F.struct((x / d).alias("x"), (y / d).alias("y"))
+
+    def edge(p, k, every):
+        q = F.element_at(every, (k + 1) % 4 + 1)
+        here = F.when(p["d"] >= NEAR, F.array(flat(p["x"], p["y"], p["d"]))).otherwise(F.array())
+        share = (NEAR - p["d"]) / F.when(p["d"] == q["d"], 1.0).otherwise(q["d"] - p["d"])
+        cut = flat(p["x"] + share * (q["x"] - p["x"]), p["y"] + share * (q["y"] - p["y"]), F.lit(NEAR))
+        crossed = (p["d"] >= NEAR) != (q["d"] >= NEAR)
+        return F.concat(here, F.when(crossed, F.array(cut)).otherwise(F.array()))
+
+    return bound(points, lambda every: F.flatten(F.transform(every, lambda p, k: edge(p, k, every))))
+
+
+def _band(polygon: Column, low: Column, high: Column) -> Column:
+    """The x of a convex polygon's vertices between two heights and of its edges at either."""
+
+    def edge(p, k):
+        q = F.element_at(polygon, (k + 1) % F.size(polygon) + 1)
+
+        def at(y):
+            rise = F.when(p["y"] == q["y"], 1.0).otherwise(q["y"] - p["y"])
+            x = p["x"] + (y - p["y"]) / rise * (q["x"] - p["x"])
+            return F.when((p["y"] < y) != (q["y"] < y), F.array(x)).otherwise(F.array())
+
+        inside = (p["y"] >= low) & (p["y"] <= high)
+        return F.concat(F.when(inside, F.array(p["x"])).otherwise(F.array()), at(low), at(high))
+
+    return F.flatten(F.transform(polygon, edge))
+
+
 def assign_tiles(tiles: DataFrame, shifted: DataFrame, size: int = TILE) -> DataFrame:
-    """Which canvas tiles each frame tile may touch: boxes listed by explode, joined by equality.
+    """Which canvas tiles each frame tile touches, joined by equality.
 
-    Keeps the columns of ``tiles``, those of the frame's size as frame_width and
-    frame_height, and adds strip_id, h, the canvas size and (cx, cy) of the
-    canvas tile.
+    The frame tile's quad is cut where it passes the horizon, so what is beyond has no place on the
+    canvas. Tile rows come from the polygon's height; in each row the tiles come
+    from the polygon's extent in that row, so a slanted quad lists no tile beside it. Keeps the
+    columns of ``tiles``, those of the frame's size as frame_width and frame_height, and adds strip_id,
+    h (of positive depth at the frame's centre), the canvas size and (cx, cy) of the canvas tile.
     """
     named = tiles.withColumnsRenamed({"width": "frame_width", "height": "frame_height"})
-    posed = named.join(shifted, "frame_idx")
-    h = F.col("h")
+    posed = named.join(shifted, "frame_idx").withColumn(
+        "h", facing(F.col("h"), F.col("frame_width"), F.col("frame_height"))
+    )
     left, top = (F.col(c).cast("double") - 1 for c in ("x0", "y0"))
     right, low = (F.col("x0") + F.col("w")).cast("double"), (F.col("y0") + F.col("h0")).cast("double")
     corners = [(left, top), (right, top), (right, low), (left, low)]
-    mapped = [apply_transform(h, x, y) for x, y in corners]
-    depths = [h[6] * x + h[7] * y + h[8] for x, y in corners]
-    regular = F.least(*depths) > 1e-9  # otherwise the box is unbounded: take the whole canvas
-    bounds = []
-    for k, side in ((0, "width"), (1, "height")):
-        values = [m[k] for m in mapped]
-        end = F.col(side).cast("double") - 1
-        low_edge = F.when(regular, F.greatest(F.ceil(F.least(*values) - 1e-6), F.lit(0)))
-        high_edge = F.when(regular, F.least(F.floor(F.greatest(*values) + 1e-6).cast("double"), end))
-        bounds.append((F.coalesce(low_edge.cast("double"), F.lit(0.0)), F.coalesce(high_edge, end)))
-    (x1, x2), (y1, y2) = bounds
-
-    def tile_range(first, last):
-        return F.sequence(F.floor(first / size).cast("int"), F.floor(last / size).cast("int"))
-
-    touching = posed.where((x1 <= x2) & (y1 <= y2))
-    return touching.withColumn("cx", F.explode(tile_range(x1, x2))).withColumn(
-        "cy", F.explode(tile_range(y1, y2))
+    # a polygon through corners at the horizon has none
+    seen = posed.withColumn("_polygon", _visible(F.col("h"), corners)).where(F.size("_polygon") > 2)
+
+    def steps(least, most, side):
+        """Numbers of the tiles that an interval meets, as an array, empty beside the canvas."""
+        end = F.floor((F.col(side) - 1) / size)
+        first = F.greatest(F.ceil((least - _SLACK - size + 1) / size), F.lit(0))
+        last = F.least(F.floor((most + _SLACK) / size), end)
+        return F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(
+            F.array().cast("array<int>")
+        )
+
+    height = F.transform("_polygon", lambda p: p["y"])
+    rows = seen.withColumn("cy", F.explode(steps(F.array_min(height), F.array_max(height), "height")))
+    band = _band(
+        F.col("_polygon"), F.col("cy") * size - _SLACK, (F.col("cy") + 1) * size - 1 + _SLACK
     )
+    across = rows.withColumn("_band", band).where(F.size("_band") > 0)
+    found = across.withColumn("cx", F.explode(steps(F.array_min("_band"), F.array_max("_band"), "width")))
+    return found.drop("_polygon", "_band")
 
 
 _PATCH = pa.schema(
@@ -245,6 +309,7 @@ def warp_patch(row: dict, size: int, weight: str):
     sx, sy = (np.where(np.abs(s - np.rint(s)) < 1e-7, np.rint(s), s) for s in (sx, sy))
     own = (np.floor(sx) >= left) & (sx < right) & (np.floor(sy) >= top) & (sy < low)
     own &= (sx > -1) & (sx < fw) & (sy > -1) & (sy < fh)
+    own &= matrix[2, 0] * sx + matrix[2, 1] * sy + matrix[2, 2] >= NEAR  # not beyond the horizon
     sx, sy = np.where(own, sx, -9.0), np.where(own, sy, -9.0)
     image = as_image(row["pixels"], row["bh"], row["bw"])
     if weight == "feather":
