@@ -405,7 +405,7 @@ def blend(
     summed in parts first; the sums are whole numbers, so parts and order do not
     change the result.
     """
-    cut = patches(tiles, shifted, size)
+    cut = settle(patches(tiles, shifted, size))  # counted, then added up
     usable = canvases.where(~F.col("refused") & (F.col("width") > 0) & (F.col("height") > 0))
 
     def steps(side):
@@ -415,10 +415,7 @@ def blend(
         "*", steps("height").alias("ty")
     )
     every = cut.unionByName(blank, allowMissingColumns=True)
-    plain = tiles.drop("pixels").withColumnRenamed("h", "h0")
-    load = assign_tiles(plain, shifted, size).groupBy(
-        "strip_id", F.col("cx").alias("tx"), F.col("cy").alias("ty")
-    ).agg(F.count("*").alias("n"))
+    load = cut.groupBy(*_TILE).agg(F.count("*").alias("n"))
     crowded = settle(
         load.where(F.col("n") > CROWD).select(
             *_TILE, F.ceil(F.sqrt(F.col("n"))).cast("int").alias("parts")

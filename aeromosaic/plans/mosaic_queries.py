@@ -49,6 +49,15 @@ def _warped(spark, sf_dir, weight):
     return ms.warp(ms.patches(tiles, shifted, SIZE), SIZE, weight).drop("strip_id")
 
 
+def _warped_between(spark, sf_dir):
+    """Frames laid half a pixel to the right and a quarter down: all weights are exact in binary."""
+    frames = _frames(spark, sf_dir)
+    poses = settle(wl.scene_poses(spark, sf_dir, 0.5, 0.25))
+    shifted = ms.shift(poses, ms.canvas(ms.footprints(frames, poses)))
+    cut = ms.patches(im.to_tiles(frames, FRAME_TILE), shifted, SIZE)
+    return ms.warp(cut, SIZE, "uniform").drop("strip_id")
+
+
 def _shift(spark, sf_dir):
     frames = _frames(spark, sf_dir)
     shifted = ms.shift(_poses(spark, sf_dir), _canvas(spark, sf_dir, frames, max_side=SIDE, refuse_side=None))
@@ -211,6 +220,7 @@ QUERIES = {
     "w4_shift": _shift,
     "w5_assign_tiles": _assign,
     "w6_warp": lambda s, d: _warped(s, d, "uniform"),
+    "w6_warp_between": _warped_between,
     "w7_weights": lambda s, d: _warped(s, d, "feather").select("frame_idx", "x", "y", "weight"),
     "w8_blend": lambda s, d: _blended_pixels(s, d),
     "w8_blend_feather": lambda s, d: _blended_pixels(s, d, "feather"),
@@ -219,6 +229,7 @@ QUERIES = {
     "w11_crop": _crop,
 }
 
+# Fixed values in the SQL below: image endings, and the boxes by number of files.
 _FRAMES = f"WITH RECURSIVE {wl.FRAMES_SQL}"
 _SCENE = f"WITH RECURSIVE {wl.SCENE_SQL}"
 _CORNERS = """, corner AS (
@@ -287,7 +298,7 @@ ORACLES = {
                 * (least((v.y + 1) * height / nh, p.y + 1) - greatest(v.y * height / nh, p.y)) * nh / height
                   AS w, b, g, r
            FROM fpx p JOIN small USING (f)
-           JOIN (SELECT unnest(range(40)) AS x) u ON u.x < nw
+           JOIN (SELECT unnest(range(50)) AS x) u ON u.x < nw
                 AND (u.x + 1) * width / nw > p.x AND u.x * width / nw < p.x + 1
            JOIN (SELECT unnest(range(20)) AS y) v ON v.y < nh
                 AND (v.y + 1) * height / nh > p.y AND v.y * height / nh < p.y + 1)
@@ -329,7 +340,7 @@ ORACLES = {
     + """, grid AS (
            SELECT f, dx, dy, tx, ty, least(32, s.width - 32 * tx) AS w, least(32, s.height - 32 * ty) AS h
            FROM pose JOIN fsize s USING (f)
-           CROSS JOIN (SELECT unnest(range(3)) AS tx) CROSS JOIN (SELECT unnest(range(2)) AS ty)
+           CROSS JOIN (SELECT unnest(range(4)) AS tx) CROSS JOIN (SELECT unnest(range(2)) AS ty)
            WHERE 32 * tx < s.width AND 32 * ty < s.height),
          box AS (
            SELECT g.*, greatest(dx + 32 * tx - 1, 0) AS x1, least(dx + 32 * tx + w, c.width - 1) AS x2,
@@ -345,6 +356,18 @@ ORACLES = {
     + """SELECT CAST(frame_idx AS INT) AS frame_idx, CAST(x AS INT) AS x, CAST(y AS INT) AS y,
                 CAST(b AS DOUBLE) AS b, CAST(g AS DOUBLE) AS g, CAST(r AS DOUBLE) AS r,
                 1.0::DOUBLE AS weight FROM shown""",
+    "w6_warp_between": _FRAMES
+    + ", between AS (SELECT f, dx + 0.5::DOUBLE AS dx, dy + 0.25::DOUBLE AS dy FROM pose)"
+    + _CORNERS.replace("FROM pose JOIN", "FROM between JOIN")
+    + """, part AS (
+           SELECT CAST(f AS INT) AS frame_idx, CAST(x + p.dx + u.k AS INT) AS x, CAST(y + p.dy + v.k AS INT) AS y,
+                  b, g, r, CASE WHEN v.k = 0 THEN 0.375::DOUBLE ELSE 0.125::DOUBLE END AS w
+           FROM fpx JOIN pose p USING (f) CROSS JOIN (SELECT unnest([0, 1]) AS k) u
+           CROSS JOIN (SELECT unnest([0, 1]) AS k) v),
+         seen AS (SELECT frame_idx, x, y, sum(w) AS weight, sum(b * w) AS sb, sum(g * w) AS sg, sum(r * w) AS sr
+                  FROM part GROUP BY frame_idx, x, y)
+         SELECT frame_idx, s.x, s.y, sb * weight AS b, sg * weight AS g, sr * weight AS r, weight
+         FROM seen s, canvas c WHERE s.x < c.width AND s.y < c.height""",
     "w7_weights": _ON_CANVAS
     + """SELECT CAST(frame_idx AS INT) AS frame_idx, CAST(x AS INT) AS x, CAST(y AS INT) AS y,
                 feather AS weight FROM shown""",

@@ -254,15 +254,15 @@ FRAMES_SQL = (
     SCENE_SQL
     + """,
 fpx AS (
-  SELECT f, x - f * 3 % 20 AS x, y - 24 * f AS y, least(255, b + 3 * (f % 9)) AS b,
+  SELECT f, (x - f * 3 % 20 + 100) % 100 AS x, y - 24 * f AS y, least(255, b + 3 * (f % 9)) AS b,
          least(255, g + 2 * (f % 5)) AS g, r
   FROM (SELECT *, y // 24 - k AS f FROM cell CROSS JOIN (SELECT unnest([0, 1]) AS k))
-  WHERE f >= 0 AND y - 24 * f < 40 AND x >= f * 3 % 20 AND x < f * 3 % 20 + 80),
-fsize AS (SELECT f, 80 AS width, max(y) + 1 AS height FROM fpx GROUP BY f),
+  WHERE f >= 0 AND y - 24 * f < 40),
+fsize AS (SELECT f, 100 AS width, max(y) + 1 AS height FROM fpx GROUP BY f),
 pose AS (SELECT f, f * 3 % 20 AS dx, 24 * f AS dy FROM fsize)
 """
 )
-FRAME_STEP, FRAME_WIDTH, FRAME_HEIGHT = 24, 80, 40
+FRAME_STEP, FRAME_HEIGHT = 24, 40
 
 
 def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,17 +336,20 @@ def scene_mosaic(spark: SparkSession, sf_dir: str, size: int = 64) -> DataFrame:
 
 
 def scene_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping windows of the scene, each a little brighter than the last."""
+    """Overlapping bands of the scene, each turned round a little further and brighter than the last.
+
+    Every pixel of the scene is in a band; columns that leave one on the left come in again on the right.
+    """
     px = scene(spark, sf_dir)
     f, x, y = F.col("f"), F.col("x"), F.col("y")
     shift = f * 3 % 20
     seen = (
         px.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
         .withColumn("f", (F.floor(y / FRAME_STEP) - F.col("k")).cast("int"))
-        .where((f >= 0) & (y - FRAME_STEP * f < FRAME_HEIGHT) & (x >= shift) & (x < shift + FRAME_WIDTH))
+        .where((f >= 0) & (y - FRAME_STEP * f < FRAME_HEIGHT))
         .select(
             f.alias("frame_idx"),
-            (x - shift).cast("int").alias("lx"),
+            F.pmod(x - shift, F.lit(SCENE_WIDTH)).cast("int").alias("lx"),
             (y - FRAME_STEP * f).cast("int").alias("ly"),
             F.least(F.lit(255), F.col("b") + 3 * (f % 9)).alias("b"),
             F.least(F.lit(255), F.col("g") + 2 * (f % 5)).alias("g"),
@@ -354,7 +357,7 @@ def scene_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     sized = seen.groupBy("frame_idx").agg((F.max("ly") + 1).alias("height")).select(
-        "frame_idx", F.lit(FRAME_WIDTH).alias("width"), "height"
+        "frame_idx", F.lit(SCENE_WIDTH).alias("width"), "height"
     )
 
     def out(first, image):
@@ -372,15 +375,15 @@ def scene_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(sized, "frame_idx").groupBy("frame_idx").applyInArrow(paint, FRAMES)
 
 
-def scene_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each window lies: pure shifts."""
+def scene_poses(spark: SparkSession, sf_dir: str, right: float = 0.0, down: float = 0.0) -> DataFrame:
+    """Where each band lies: pure shifts, by ``right`` and ``down`` more if asked."""
     f = F.col("frame_idx")
     y = F.floor(F.floor(F.col("o_orderkey") / SCENE_WIDTH) / FRAME_STEP).cast("int")
     frames = read(spark, sf_dir, "orders").select(y.alias("frame_idx")).distinct()
     one, zero = F.lit(1.0), F.lit(0.0)
     h = F.array(
-        one, zero, (f * 3 % 20).cast("double"),
-        zero, one, (f * FRAME_STEP).cast("double"),
+        one, zero, (f * 3 % 20).cast("double") + right,
+        zero, one, (f * FRAME_STEP).cast("double") + down,
         zero, zero, one,
     )
     return frames.select(F.lit(0).alias("strip_id"), f.alias("pos"), "frame_idx", h.alias("h"))
@@ -400,7 +403,7 @@ names AS (
 # --- flight: every order is a block of the ground, frames are flown over it ---
 
 BLOCK_PX, GROUND_BLOCKS = 4, 60
-FLIGHT_WIDTH, FLIGHT_HEIGHT, FLIGHT_STEP = 200, 180, 60
+FLIGHT_WIDTH, FLIGHT_HEIGHT, FLIGHT_STEP = 224, 180, 60
 
 
 def flight_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
