@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeromosaic.functions.ordering import settle
-from aeromosaic.llm.texts import letter_words, map_texts, table
+from aeromosaic.llm.texts import letter_words, map_texts, named, table, unwrapped, wrapped
 
 WINDOW = 13
 SHARE = 20  # a document is contaminated if at least one word in SHARE is hit
@@ -262,7 +262,7 @@ def contamination(
     longest = [F.col(f"__longest_{b}") for b in passes]
     one = len(spans) == 1
     return found.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *[named(c) for c in keep],
         F.col("__words_0").alias("__n_words"),
         (spans[0] if one else _merged(F.flatten(F.array(*spans)))).alias("__hits"),
         (items[0] if one else F.array_sort(F.array_distinct(F.flatten(F.array(*items))))).alias("__items"),
@@ -280,8 +280,9 @@ def _contaminated():
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    found = contamination(docs, benchmark, docs.columns, window)
-    return found.where(~_contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = wrapped(docs, "doc_id", "text")
+    found = contamination(rows, benchmark, rows.columns, window).where(~_contaminated())
+    return unwrapped(found.select(*rows.columns), docs.columns)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

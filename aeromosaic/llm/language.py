@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeromosaic.functions.ordering import settle, top_n
-from aeromosaic.llm.texts import map_texts, table
+from aeromosaic.llm.texts import map_texts, table, unwrapped, wrapped
 
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
@@ -211,8 +211,9 @@ def identify(docs: DataFrame, keep: list[str], model: Model) -> DataFrame:
 
 def known_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents that are not rejected by a model of their own labels, with their own columns."""
-    found = identify(docs, docs.columns, fit(docs, sample))
-    return found.where("NOT __rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = wrapped(docs, "doc_id", "text", "lang")
+    found = identify(rows, rows.columns, fit(rows, sample)).where("NOT __rejected")
+    return unwrapped(found.select(*rows.columns), docs.columns)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

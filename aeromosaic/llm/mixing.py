@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeromosaic.functions.ordering import settle, top_n
-from aeromosaic.llm.texts import letter_words, map_texts, named, table
+from aeromosaic.llm.texts import letter_words, map_texts, table, unwrapped, wrapped
 
 DOMAINS = ["high", "low", "toxic"]
 #: Share of tokens of each domain after mixing.
@@ -324,12 +324,13 @@ def wanted_documents(
     Rates are solved for full memberships, so that which side of the cut a document is on follows from its
     own posteriors and the targets, not from how much unwanted text the other documents hold.
     """
-    scored = settle(posteriors(docs, docs.columns, fit(docs, labels, sample)))
+    rows = wrapped(docs, "doc_id", "text")
+    scored = settle(posteriors(rows, rows.columns, fit(rows, labels, sample)))
     p = [F.col(f"__p_{k}") for k in range(len(DOMAINS))]
     one = memberships(p, targets)
     numbers = scored.select(F.col("__n_tokens").alias("n_tokens"), *[x.alias(f"p_{k}") for k, x in enumerate(one)])
     rate = _rate(one, _steps(numbers, targets))
-    return scored.where(rate >= 0.5).select(*[named(c) for c in docs.columns])
+    return unwrapped(scored.where(rate >= 0.5).select(*rows.columns), docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

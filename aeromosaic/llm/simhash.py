@@ -22,12 +22,12 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeromosaic.functions.ordering import settle
 from aeromosaic.llm.components import components
-from aeromosaic.llm.texts import map_texts, space_words, table
+from aeromosaic.llm.texts import map_texts, space_words, table, unwrapped, wrapped
 
 SHINGLE, BITS, SEED = 4, 4, 42
 LANES = 32  # two-bit segments
@@ -222,24 +222,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One row of each component, that of the smallest id, with all columns of the documents."""
-    mark = "__fp"
-    while mark in docs.columns:
-        mark += "_"
-    marked = settle(with_fingerprints(docs, docs.columns, mark, shingle))
-    found = classes(marked.select("doc_id", F.col(mark).alias("fp")), bits)
+    """One row of each component, that of the smallest id, with all columns of the documents.
+
+    Rows are numbered where they are written; which ones stay is settled on numbers, fingerprints and
+    hashes, and texts are fetched once, for those.
+    """
+    rows = wrapped(docs, "doc_id", "text")
+    marked = with_fingerprints(rows, rows.columns, "fp", shingle)
+    marked = settle(marked.withColumn("__number", F.monotonically_increasing_id()))
+    thin = marked.select("__number", "doc_id", "fp", F.xxhash64("text").alias("hash"))
+    found = classes(thin.select("doc_id", "fp"), bits)
     best = F.min(F.struct(F.col("first_id").isNull(), "first_id", "fp")).alias("best")
     keepers = found.groupBy("root").agg(best).select(
-        F.col("best.fp").alias("__kept_fp"), F.col("best.first_id").alias("__kept_id")
-    )
-    same = (F.col(mark) == F.col("__kept_fp")) & F.col("doc_id").eqNullSafe(F.col("__kept_id"))
-    place = F.row_number().over(Window.partitionBy(mark, "doc_id").orderBy(F.xxhash64("text")))
-    return (
-        marked.join(keepers, same, "left_semi")
-        .withColumn("__place", place)
-        .where("__place = 1")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        F.col("best.fp").alias("kept_fp"), F.col("best.first_id").alias("kept_id")
     )
+    same = (F.col("fp") == F.col("kept_fp")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    first = F.min(F.struct("hash", "__number"))["__number"].alias("__number")
+    kept = thin.join(keepers, same, "left_semi").groupBy("fp", "doc_id").agg(first).select("__number")
+    return unwrapped(marked.join(kept, "__number", "left_semi").select(*rows.columns), docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,19 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def wrapped(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others in the struct __row, where no name meets one of ours."""
+    others = [named(c) for c in docs.columns if c not in needed]
+    return docs.select(F.struct(*(others or [F.lit(0).alias("none")])).alias("__row"), *map(named, needed))
+
+
+def unwrapped(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of ``wrapped`` documents as they were."""
+    return rows.select(
+        *[(named(c) if c in rows.columns and c != "__row" else F.col("__row").getField(c)).alias(c) for c in columns]
+    )
+
+
 def letter_words(text: str | None) -> list[bytes]:
     """Words of digits, letters and non-ASCII characters, A-Z lower-cased, as UTF-8."""
     return (text or "").encode().translate(TO_WORDS).split()
