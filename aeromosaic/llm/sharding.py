@@ -5,13 +5,20 @@ shards (largest first, each to the shard with the fewest bytes), and the slot-to
 as a versioned table. Rebalancing edits that map: only slots that must move do. The map and the sums
 per slot have SLOTS rows whatever the corpus holds, so they may pass through the driver.
 
-A null text has no bytes and the checksum of the empty text; a null id hashes by its text. A row that
-is repeated over HEAVY times is spread by its place, since copies can't be told apart; other repeats
-share a slot. Within a shard rows are numbered from 0 without gaps. An empty table gives an empty
-result; further columns are left out.
+Rows that agree in id, size and checksum are counted before they move; copies are dealt in runs of
+RUN to CHUNKS chunks in turn, each chunk to the slot of its key and number: a row that fills a third
+of the table spreads, and the slots depend on the rows alone, not on how the table is partitioned.
+
+With a ``map_path`` the newest version of the map there is edited for the new sums and stored as the
+next one; without, slots are dealt afresh.
+
+A null text has no bytes and the checksum of the empty text; a null id hashes by its text. Within a
+shard rows are numbered from 0 without gaps. An empty table gives an empty result; further columns
+are left out.
 """
 
 import heapq
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,40 +30,33 @@ from aeromosaic.llm.texts import table
 SLOTS = 8192
 SHARDS = 40
 OVERHEAD = 16  # bytes of a record besides its text
-HEAVY = 1000
-SALTS = 4096
+RUN, CHUNKS = 64, 4096  # copies of a row are dealt in runs, in turn to so many chunks
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot) of every document, written once.
+    """(doc_id, size, text_crc32, chunk, copies, virtual_slot): documents, equal rows counted.
 
     Texts are read once and don't move: only these few numbers are shuffled.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    thin = settle(
-        docs.select(
-            "doc_id",
-            (F.octet_length(text).cast("long") + OVERHEAD).alias("size"),
-            F.crc32(text).alias("text_crc32"),
-            F.monotonically_increasing_id().alias("place"),
-        )
-    )
-    key = F.xxhash64("doc_id", "text_crc32", "size").alias("key")
-    heavy = thin.groupBy(key).count().where(F.col("count") > HEAVY).select("key", F.lit(1).alias("heavy"))
-    salt = F.when(F.col("heavy") == 1, F.pmod("place", F.lit(SALTS))).otherwise(0)
-    return (
-        thin.withColumn("key", key)
-        .join(heavy, "key", "left")
-        .select(
-            "doc_id", "size", "text_crc32",
-            F.pmod(F.xxhash64("key", salt), F.lit(slots)).cast("int").alias("virtual_slot"),
-        )
+    size = (F.octet_length(text).cast("long") + OVERHEAD).alias("size")
+    same = ["doc_id", "size", "text_crc32"]
+    counted = docs.select("doc_id", size, F.crc32(text).alias("text_crc32")).groupBy(*same).agg(F.count("*").alias("n"))
+    chunks = F.expr(f"sequence(0L, least((n - 1) div {RUN}, {CHUNKS - 1}L))")
+    turn = RUN * CHUNKS
+    last = f"greatest(0, least({RUN}, n % {turn} - chunk * {RUN}))"
+    return counted.select(*same, "n", F.explode(chunks).alias("chunk")).select(
+        *same, "chunk",
+        F.expr(f"n div {turn} * {RUN} + {last}").alias("copies"),
+        F.pmod(F.xxhash64(F.xxhash64("doc_id", "text_crc32", "size"), "chunk"), F.lit(slots))
+        .cast("int").alias("virtual_slot"),
     )
 
 
 def slot_sums(rows: DataFrame) -> list[tuple[int, int, int]]:
     """(slot, bytes, rows) of the slots in use: at most SLOTS rows, added up before they move."""
-    sums = rows.groupBy("virtual_slot").agg(F.sum("size"), F.count("*"))
+    held = F.sum(F.col("size") * F.col("copies"))
+    sums = rows.groupBy("virtual_slot").agg(held, F.sum("copies"))
     return sorted(tuple(r) for r in sums.collect())
 
 
@@ -77,7 +77,8 @@ def rebalance(
     """The map edited for new sums or another number of shards.
 
     Slots of shards that are gone, then the smallest slots of shards above the mean by more than
-    ``slack``, go to the lightest shard; all other slots stay where they are.
+    ``slack``, go to the lightest shard; all other slots stay where they are, also those that
+    have no rows at present.
     """
     size = {slot: n for slot, n, _ in sums}
     held = dict.fromkeys(range(shards), 0)
@@ -91,7 +92,7 @@ def rebalance(
         else:
             moving.append(slot)
     most = sum(size.values()) / shards * (1 + slack)
-    out = {slot: placed[slot] for shard in homes for slot in homes[shard]}
+    out = {slot: shard for slot, shard in placed.items() if shard < shards}
     for shard, slots in homes.items():
         while held[shard] > most and slots:
             slot = slots.pop(0)
@@ -130,23 +131,53 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/version={version:06d}")
 
 
+def newest_version(spark: SparkSession, path: str) -> int:
+    """Number of the last version of the map that was written whole; 0 without any."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return 0
+    found = [0]
+    for entry in system.listStatus(folder):
+        version = re.fullmatch(r"version=(\d+)", entry.getPath().getName())
+        # the one file of a version gets its name when it is complete
+        if version and any(f.getPath().getName().startswith("part-") for f in system.listStatus(entry.getPath())):
+            found.append(int(version[1]))
+    return max(found)
+
+
+def next_map(
+    spark: SparkSession, path: str, sums: list[tuple[int, int, int]], shards: int
+) -> DataFrame:
+    """The newest map edited for these sums, or a first one, stored as the next version."""
+    version = newest_version(spark, path)
+    if version:
+        before = {r["virtual_slot"]: r["shard"] for r in load_map(spark, path, version).collect()}
+        placed = rebalance(before, sums, shards)
+    else:
+        placed = deal(sums, shards)
+    store_map(spark, path, version + 1, placed, sums)
+    return load_map(spark, path, version + 1)
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, map_path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot, shard and slot (row number in the shard)."""
     spark = docs.sparkSession
     rows = settle(records(docs))
-    sums = slot_sums(rows)
     path = map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
-    store_map(spark, path, 1, deal(sums, shards), sums)
-    inside = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("__row", F.row_number().over(inside))
-    return numbered.join(load_map(spark, path, 1), "virtual_slot").select(
+    homes = next_map(spark, path, slot_sums(rows), shards)
+    inside = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "chunk")
+    before = F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    start = F.col("first") + F.coalesce("before", F.lit(0))
+    numbered = rows.withColumn("before", before).join(homes, "virtual_slot")
+    return numbered.select(
         "doc_id", "size", "text_crc32", "virtual_slot", "shard",
-        (F.col("first") + F.col("__row") - 1).alias("slot"),
+        F.explode(F.sequence(start, start + F.col("copies") - 1)).alias("slot"),
     )
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    return shard(docs, shards).select(
+def sharded(docs: DataFrame, shards: int = SHARDS, map_path: str | None = None) -> DataFrame:
+    return shard(docs, shards, map_path).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
     )

@@ -274,6 +274,63 @@ def test_shards_of_odd_rows(shipped, odd, nothing):
     assert max(held.values()) < 200 and len(held) == 40  # a hot record is spread
 
 
+def _plain_slots(rows):
+    """Virtual slot of every copy of (doc_id, text) rows, from the hash of the library."""
+    long = lambda v, seed: xxhash.xxh64_intdigest((v % 2**64).to_bytes(8, "little"), seed)
+    out = []
+    for (i, data), n in Counter((i, (t or "").encode()) for i, t, _ in rows).items():
+        key = 42
+        for v in (i, zlib.crc32(data), len(data) + 16):
+            key = key if v is None else long(v, key)
+        for copy in range(n):
+            chunk = copy // sharding.RUN % sharding.CHUNKS
+            slot = long(chunk, long(key, 42))
+            slot -= 2**64 if slot >= 2**63 else 0
+            out.append((i, len(data) + 16, zlib.crc32(data), slot % sharding.SLOTS))
+    return out
+
+
+@pytest.mark.parametrize("chunks", [4096, 3])
+def test_slots_and_shards_are_those_of_a_plain_loop(shipped, monkeypatch, chunks):
+    monkeypatch.setattr(sharding, "CHUNKS", chunks)
+    rows = [*ODD, *[(77, "hot", None)] * 2500, *[(k, f"text {k}" * (k % 9), None) for k in range(100, 400)]]
+    want = _plain_slots(rows)
+    size, held, home = Counter(), [0] * 40, {}
+    for _, n, _, slot in want:
+        size[slot] += n
+    for slot in sorted(size, key=lambda s: (-size[s], s)):
+        home[slot] = min(range(40), key=lambda s: (held[s], s))
+        held[home[slot]] += size[slot]
+    docs = documents(shipped, rows)
+    for parts in (1, 5):  # however the table is partitioned
+        got = sharding.shard(docs.repartition(parts)).collect()
+        columns = ("doc_id", "size", "text_crc32", "virtual_slot")
+        assert Counter(tuple(r[c] for c in columns) for r in got) == Counter(want)
+        weight, places = Counter(), defaultdict(list)
+        for r in got:
+            weight[r["shard"]] += r["size"]
+            places[r["shard"]].append(r["slot"])
+        assert sorted(weight.values()) == sorted(h for h in held if h)
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_a_grown_table_edits_the_map(shipped, tmp_path):
+    rows = [(k, f"text {k} " * (1 + k % 13), None) for k in range(1000)]
+    path = str(tmp_path / "map")
+    assert sharding.newest_version(shipped, path) == 0
+    shard_of = lambda n, shards=40: {
+        r["doc_id"]: r["shard"] for r in sharding.shard(documents(shipped, rows[:n]), shards, path).collect()
+    }
+    first, same, grown = shard_of(900), shard_of(900), shard_of(1000)
+    assert sharding.newest_version(shipped, path) == 3
+    assert first == same and len(grown) == 1000
+    assert sum(first[k] != grown[k] for k in first) < 0.15 * len(first)
+    more = shard_of(1000, 41)
+    assert sum(grown[k] != more[k] for k in grown) < 0.1 * len(grown) and 40 in set(more.values())
+    (tmp_path / "map" / "version=000009").mkdir()  # begun by a job that was lost
+    assert sharding.newest_version(shipped, path) == 4
+
+
 def test_rebalancing_moves_little():
     rng = np.random.default_rng(0)
     sums = [(k, int(n), 1) for k, n in enumerate(rng.integers(1000, 2000, 4000))]
