@@ -3,8 +3,11 @@
 Plain kinds are ``assign`` (a value given to a password-like name), ``access`` (cloud access
 keys) and ``hex`` (long hexadecimal runs). Confirmed kinds are decoded first: ``jwt`` (signed
 tokens: the header is JSON naming an algorithm and the signature has that algorithm's length),
-``der`` (base64 or hex of a private key whose nested lengths fill it exactly) and ``pem`` (the
-same between private-key lines, or the length-prefixed format of SSH keys).
+``der`` (base64 or hex of a private key whose nested lengths fill it exactly; base64 may be wrapped
+into lines and may stand behind other text) and ``pem`` (the same between private-key lines, or the
+length-prefixed format of SSH keys; line ends may be written as \\n and header lines may come first;
+a body that those headers call encrypted has no structure to see and is confirmed by its cipher's
+block size and initial vector).
 
 Null and empty texts have no spans and the digest of the empty string. Rows are scanned one by
 one, so null ids, repeated rows and further columns change nothing; an empty table gives an
@@ -39,8 +42,15 @@ _ASSIGN = rf"(?:{_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 _ACCESS = r"AKIA[A-Z0-9]{14,}"
 _HEX = r"[0-9a-f]{16,}"
 _JWT = r"(?<![A-Za-z0-9_-])e[yw][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*"
+# Line ends of a wrapped text, as they are or as other formats write them.
+_BREAK = r"(?:\r\n|\n|\\r\\n|\\n)"
 _RUN = r"[A-Za-z0-9+/_-]{40,}={0,2}"
-_PEM = r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----"
+_LINE = re.compile(rf"{_BREAK}([A-Za-z0-9+/]+)(={{0,2}})")
+_HEADERS = rf"(?:[A-Za-z0-9-]+: [^\n\\]*{_BREAK})*"
+_PEM = (
+    rf"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s*+(?:{_BREAK})?({_HEADERS})"
+    r"((?:[A-Za-z0-9+/=\s]++|\\[rn])++)-----END \1-----"
+)
 _FIND = {k: re.compile(p) for k, p in zip(KINDS, (_ASSIGN, _ACCESS, _HEX, _JWT, _RUN, _PEM), strict=True)}
 # What a text must have for its kind to be looked for, told for a whole column at once.
 _FIRST = {
@@ -51,6 +61,8 @@ _FIRST = {
     "der": r"[A-Za-z0-9+/_-]{40}",
     "pem": r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----",
 }
+# Object identifiers of key encryption: 1.2.840.113549.1.5.x and 1.2.840.113549.1.12.1.x.
+_ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 # Signature bytes of the algorithms of signed tokens (RSA: any from 128 on).
 _SIGNED = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64}
 
@@ -101,6 +113,11 @@ def is_private_key(data: bytes) -> bool:
     if not parts or len(parts) < 2:
         return False
     tags = [p[0] for p in parts]
+    if tags == [0x30, 0x04]:  # encrypted: the identifier of a cipher, then the key under it
+        inner = _children(data, *parts[0][1:])
+        if not inner or inner[0][0] != 0x06 or parts[1][2] - parts[1][1] < 16:
+            return False
+        return data[inner[0][1] : inner[0][2]].startswith(_ENCRYPTION)
     version = data[parts[0][1] : parts[0][2]]
     if tags[0] != 0x02 or len(version) != 1 or version[0] > 1:
         return False
@@ -152,35 +169,103 @@ def is_signed_token(text: str) -> bool:
     return alg[:2] in ("RS", "PS") and len(signed) >= 128
 
 
-def _key_run(run: str) -> bool:
-    if len(run) >= 64 and len(run) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", run):
-        if is_private_key(bytes.fromhex(run)):
-            return True
-    # a key starts with a sequence, which base64 begins with M
-    data = from_base64(run) if run[0] in "Mb" else None
-    return data is not None and (is_private_key(data) or is_ssh_key(data))
+def _declared(data: bytes) -> int:
+    """Bytes of the DER sequence that data begins with; 0 if a key can't begin so.
+
+    A key's first part is its version, a number of one byte, or the sequence that names a cipher.
+    """
+    if len(data) < 12 or data[0] != 0x30:
+        return 0
+    size, start = data[1], 2
+    if size >= 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 4:
+            return 0
+        size, start = int.from_bytes(data[2 : 2 + n]), 2 + n
+    first = data[start : start + 3]
+    return start + size if first[0] == 0x30 or first in (b"\2\1\0", b"\2\1\1") else 0
 
 
-def _pem_block(body: str) -> bool:
-    data = from_base64("".join(body.split()))
+def _is_key(data: bytes | None) -> bool:
     return data is not None and (is_private_key(data) or is_ssh_key(data))
 
 
-_HOLDS = {
-    "assign": lambda m: len(m[1]) >= 12,
-    "access": lambda m: True,
-    "hex": lambda m: True,
-    "jwt": lambda m: is_signed_token(m[0]),
-    "der": lambda m: _key_run(m[0]),
-    "pem": lambda m: _pem_block(m[2]),
+# Where a key may begin in a run: at its start, or behind a character that joins paths and names.
+# Its first byte, a sequence or the SSH magic, is M or b in base64.
+_BEGINS = re.compile(r"(?:^|(?<=[/_+-]))(?=M[A-I]|b3Bl)")
+
+
+def _unwrapped(text: str) -> str:
+    return re.sub(r"\s|\\[rn]", "", text)
+
+
+def _key_at(text: str, start: int, stop: int) -> int | None:
+    """Where the base64 key that begins at start ends: with its line, or some equal lines later.
+
+    A DER key tells its length at its start, and must end just there; an SSH key ends with the
+    first line of another length.
+    """
+    head = from_base64(text[start : min(stop, start + 20)].rstrip("=")[:20]) or b""
+    need = -(-_declared(head) * 4 // 3)
+    if not need and not head.startswith(b"openssh-key-v1"):
+        return None
+    core = text[start:stop].rstrip("=")
+    width, parts, held = stop - start, [core], len(core)
+    while (held < need or not need) and len(parts[-1]) == width and (line := _LINE.match(text, stop)):
+        if len(line[1]) > width:
+            break
+        parts.append(line[1])
+        held += len(line[1])
+        stop = line.end()
+    if need and held != need:
+        return None
+    return stop if _is_key(from_base64("".join(parts))) else None
+
+
+def _key_run(m: re.Match) -> tuple[int, int] | None:
+    """The span of a private key in or from a run of base64 or hex; None without one."""
+    text, run, at = m.string, m[0], m.start()
+    if len(run) >= 64 and len(run) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", run):
+        if is_private_key(bytes.fromhex(run)):
+            return m.span()
+    begins = [at + b.start() for b in _BEGINS.finditer(run)]
+    if run[0] in "rn" and text[at - 1 : at] == "\\":  # the run's first character ends a written line end
+        begins.insert(0, at + 1)
+    for start in begins:
+        stop = _key_at(text, start, m.end())
+        if stop:
+            return start, stop
+    return None
+
+
+def _pem_block(headers: str, body: str) -> bool:
+    data = from_base64(_unwrapped(body))
+    if data is None or not data:
+        return False
+    cipher = re.search(r"DEK-Info: ([A-Z0-9-]+),([0-9A-Fa-f]+)", headers)
+    if cipher and "ENCRYPTED" in headers:
+        block = len(cipher[2]) // 2
+        return block in (8, 16) and len(data) % block == 0
+    return _is_key(data)
+
+
+# The span that a match stands for; None drops it.
+_SPAN = {
+    "assign": lambda m: m.span() if len(m[1]) >= 12 else None,
+    "access": lambda m: m.span(),
+    "hex": lambda m: m.span(),
+    "jwt": lambda m: m.span() if is_signed_token(m[0]) else None,
+    "der": _key_run,
+    "pem": lambda m: m.span() if _pem_block(m[2], m[3]) else None,
 }
 
 
 def find(text: str, kinds=KINDS) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the spans of a text, by start and then kind as listed."""
-    spans = [
-        (m.start(), KINDS.index(k), m.end()) for k in kinds for m in _FIND[k].finditer(text) if _HOLDS[k](m)
-    ]
+    spans = []
+    for k in kinds:
+        found = filter(None, map(_SPAN[k], _FIND[k].finditer(text)))
+        spans += [(start, KINDS.index(k), end) for start, end in found]
     return [(start, end, KINDS[k]) for start, k, end in sorted(spans)]
 
 

@@ -79,6 +79,52 @@ def test_structures_are_confirmed():
     assert secret_scan.is_ssh_key(ssh) and not secret_scan.is_ssh_key(ssh[:-1])
 
 
+def _keys():
+    rsa = _der(0x30, _der(2, b"\0") + _der(2, b"\x01" * 64) * 8)
+    ed25519 = _der(0x30, _der(2, b"\0") + _der(0x30, _der(6, b"\x2b\x65\x70")) + _der(4, _der(4, b"k" * 32)))
+    cipher = _der(0x30, _der(6, bytes.fromhex("2a864886f70d01050d")) + _der(0x30, b""))
+    locked = _der(0x30, cipher + _der(4, b"e" * 96))
+    return {"rsa": rsa, "ed25519": ed25519, "locked": locked}
+
+
+@pytest.mark.parametrize("name", ["rsa", "ed25519", "locked"])
+def test_keys_are_found_however_they_are_written(name):
+    run = base64.b64encode(_keys()[name]).decode()
+    for width in (64, 76):
+        lines = [run[k : k + width] for k in range(0, len(run), width)]
+        for end in ("\n", "\r\n", "\\n"):
+            block = end.join(lines)
+            # without a frame, before other words
+            text = f"key: {block}{end}more words"
+            assert (5, 5 + len(block), "der") in secret_scan.find(text, ["der"]), (width, end)
+            framed = f'{{"k": "-----BEGIN PRIVATE KEY-----{end}{block}{end}-----END PRIVATE KEY-----{end}"}}'
+            assert [k for _, _, k in secret_scan.find(framed, ["pem"])] == ["pem"]
+        cut = "\n".join(lines[:-1] + [lines[-1].rstrip("=")[:-2]])
+        assert secret_scan.find(f"key: {cut}\nmore words", ["der"]) == []
+    for glue in ("a/", "path_", "x-", "n+"):
+        text = f"{glue}{run} end"
+        assert secret_scan.find(text, ["der"]) == [(len(glue), len(glue) + len(run), "der")]
+    assert secret_scan.find(f"a/{run[:-8]} end", ["der"]) == []
+    assert secret_scan.find(f"{run.rstrip('=')}AAAA", ["der"]) == []
+
+
+def test_headers_of_encrypted_keys():
+    frame = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: {}\n\n{}\n-----END RSA PRIVATE KEY-----"
+    body = base64.b64encode(b"e" * 64).decode()
+    good = frame.format("AES-128-CBC," + "0F" * 16, body)
+    assert secret_scan.find(good, ["pem"]) == [(0, len(good), "pem")]
+    for info, text in (("AES-128-CBC,0F", body), ("AES-128-CBC," + "0F" * 16, body[:-8])):
+        assert secret_scan.find(frame.format(info, text), ["pem"]) == []
+
+
+def test_scans_stay_linear():
+    for text in (
+        "-----BEGIN PRIVATE KEY-----" + " " * 200_000, "-----BEGIN PRIVATE KEY-----\\n" * 20_000,
+        "/MIIA" * 50_000, "b3Bl/" * 50_000, ("MIL/" * 16 + "\n") * 5_000, ("A: b\n" * 30_000),
+    ):
+        assert secret_scan.find(text, ["der", "pem"]) == []
+
+
 # ---- tokens
 
 
@@ -151,6 +197,20 @@ def test_tags_and_bad_expressions():
         assert license_scan.to_postfix(bad) is None
 
 
+@pytest.mark.parametrize("line, labels, permissive, score", [
+    ("mitre-proprietary", ["mitre-proprietary"], False, 0.3),
+    ("hello", ["hello"], False, 0.3),
+    ("NOASSERTION", [], None, 0.0),
+    ("LicenseRef-Acme", ["licenseref-acme"], False, 1.0),
+    ("GPL-2.0-or-later WITH Classpath-exception-2.0", ["classpath-exception-2.0", "gpl-2.0-or-later"], False, 1.0),
+    ("CC-BY-NC-4.0 OR Apache-2.0", ["apache-2.0", "cc-by", "cc-by-nc", "cc-by-nc-4.0"], True, 1.0),
+    ("MIT AND hello", ["hello", "mit"], False, 0.3),
+])
+def test_names_are_looked_up(line, labels, permissive, score):
+    found = license_scan.scan(f"# SPDX-License-Identifier: {line}\n", license_scan._automaton())
+    assert (found["labels"], found["permissive"], found["score"]) == (labels, permissive, score)
+
+
 # ---- benchmark passages
 
 
@@ -218,3 +278,16 @@ def test_odd_rows(odd, nothing):
     for scan in (secret_scan.secret_spans, token_counts.token_counts, license_scan.license_scan):
         assert scan(odd, ["doc_id"]).count() == len(ODD)
         assert scan(nothing, ["doc_id"]).count() == 0
+
+
+def test_values_of_odd_rows(odd):
+    """Nulls, empties, repeats and a very long text have the values of a plain loop."""
+    spans = secret_scan.secret_spans(odd, ["doc_id", "text"]).collect()
+    words = license_scan.license_scan(odd, ["doc_id", "text"]).collect()
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in spans))) == sorted(repr(r[:2]) for r in ODD)
+    for r in spans:
+        base = [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"] if s["kind"] in secret_scan.BASE]
+        assert base == plain_base(r["text"])
+    for r in words:
+        assert r["n_words"] == len(WORD.findall((r["text"] or "").translate(LOWER)))
+        assert (r["places"], r["labels"], r["score"]) == ([], [], 0.0)
