@@ -158,7 +158,7 @@ def _files_round_trip(spark, sf_dir):
     """Frames written as image files, then scanned, decoded and numbered again."""
     folder = _new_folder(spark, "frames")
     frames = _frames(spark, sf_dir)
-    sinks.write_tile_images(
+    written = sinks.write_tile_images(
         frames.select(
             F.col("frame_idx").alias("strip_id"),
             F.lit(0).alias("tx"),
@@ -169,7 +169,7 @@ def _files_round_trip(spark, sf_dir):
         ),
         folder,
     )
-    return im.load_frames(spark, folder)
+    return im.load_frames(spark, written)
 
 
 def _decoded(spark, sf_dir):
@@ -196,6 +196,22 @@ def _written(spark, sf_dir):
     )
 
 
+def _tile_images(spark, sf_dir):
+    """Tiles written as images in two jobs, the second over some of the first, and read back."""
+    whole = settle(wl.scene_mosaic(spark, sf_dir, SIZE))
+    folder = _new_folder(spark, "tiles")
+    sinks.write_tile_images(whole, folder)
+    plain = F.expr("unhex(repeat('070707', w * h))")
+    sinks.write_tile_images(whole.where("(tx + ty) % 2 = 1").withColumn("bgr", plain), folder)
+    tiles = sinks.read_tile_images(spark, folder)
+    place = [(F.col(c) * SIZE).alias(f"{t}0") for c, t in (("tx", "x"), ("ty", "y"))]
+    covered = F.expr("unhex(repeat('01', w * h))").alias("covered")
+    sizes = [F.lit(None).cast("int").alias(c) for c in ("width", "height")]
+    return ms.pixels(
+        tiles.select("strip_id", "tx", "ty", *place, "w", "h", *sizes, "bgr", covered)
+    ).select("x", "y", "b", "g", "r")
+
+
 def _overview(spark, sf_dir):
     view = ms.overview(wl.scene_mosaic(spark, sf_dir), 7)
     return view.select("x", "y", *[F.round(c, 6).alias(c) for c in "bgr"])
@@ -209,6 +225,7 @@ QUERIES = {
     "s5_resize_area": _shrunk,
     "s6_tiles_round_trip": _round_trip,
     "s8_write_mosaic": _written,
+    "s9_tile_images": _tile_images,
     "s10_overview": _overview,
     "w1_footprints": lambda s, d: ms.footprints(
         _frames(s, d), wl.scene_poses(s, d)
@@ -308,6 +325,10 @@ ORACLES = {
     "s6_tiles_round_trip": _FRAMES
     + """SELECT CAST(f AS INT) AS frame_idx, CAST(x AS INT) AS x, CAST(y AS INT) AS y,
                 CAST(b AS INT) AS b, CAST(g AS INT) AS g, CAST(r AS INT) AS r FROM fpx""",
+    "s9_tile_images": _SCENE
+    + f"""SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, """
+    + ", ".join(f"CAST(CASE WHEN (x // {SIZE} + y // {SIZE}) % 2 = 1 THEN 7 ELSE {c} END AS INT) AS {c}" for c in "bgr")
+    + " FROM cell",
     "s8_write_mosaic": _SCENE
     + """SELECT 'uncropped' AS variant, count(*) * 3 AS n_bytes,
                 3 * CAST(ceil((max(y) + 1) / 48) AS BIGINT) AS n_tiles FROM cell

@@ -51,7 +51,7 @@ def _in_directory(path: Column, directory: str) -> Column:
     return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1) == base
 
 
-def _plain(encoded: Column) -> Column:
+def plain_path(encoded: Column) -> Column:
     """A path as it was before its odd characters were written as %XX; + stands for itself."""
     return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
 
@@ -137,7 +137,7 @@ def decode(spark: SparkSession, directory: str, formats=FORMATS) -> DataFrame:
         return empty(
             spark, "name string, height int, width int, n_channels int, pixels binary"
         )
-    origin = _plain(F.col("image.origin"))
+    origin = plain_path(F.col("image.origin"))
     return images.where(_in_directory(origin, directory)).select(
         F.regexp_extract(origin, r"([^/]+)$", 1).alias("name"),
         F.col("image.height").alias("height"),

@@ -1,7 +1,10 @@
 """Tiled pictures against whole-image computations, files, and the whole job."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from aeromosaic.functions import filters, keypoints, ordering
@@ -280,10 +283,10 @@ def test_shrinking_by_whole_and_broken_factors():
 def test_tile_images_and_variants(spark, tmp_path):
     image = ground(40, 50)
     table = mosaic_table(spark, image, 32)
-    sinks.write_tile_images(table, str(tmp_path / "tiles"))
-    names = sorted(p.name for p in (tmp_path / "tiles").iterdir())
+    folder = sinks.write_tile_images(table, str(tmp_path / "tiles"))
+    names = sorted(p.name for p in Path(folder).iterdir() if p.suffix == ".png")
     assert names == [f"mosaic_0_{y}_{x}.png" for y in (0, 1) for x in (0, 1)]
-    (one,) = im.decode(spark, str(tmp_path / "tiles")).where("name = 'mosaic_0_0_0.png'").collect()
+    (one,) = im.decode(spark, folder).where("name = 'mosaic_0_0_0.png'").collect()
     assert one.pixels == image[:32, :32].tobytes()
     every = en.variants(table, ms.crop(table, ms.crop_box(table)))
     sinks.write_mosaic(every, str(tmp_path / "out"))
@@ -293,6 +296,27 @@ def test_tile_images_and_variants(spark, tmp_path):
     }
 
 
+def test_tile_images_are_seen_when_their_job_has_ended(spark, tmp_path):
+    path = str(tmp_path / "tiles")
+    assert sinks.read_tile_images(spark, path).count() == 0
+    table = mosaic_table(spark, ground(40, 50), 32)
+    broken = table.withColumn("bgr", F.when(F.expr("tx = 1 and ty = 1"), F.lit(b"x")).otherwise(F.col("bgr")))
+    with pytest.raises(PySparkException):
+        sinks.write_tile_images(broken.coalesce(1), path)
+    assert not list(Path(path).glob("job-*/*.png")) and sinks.read_tile_images(spark, path).count() == 0
+    sinks.write_tile_images(table, path)
+    with pytest.raises(PySparkException):
+        sinks.write_tile_images(broken.repartition(4), path)
+    # a job that was lost before it could clean up
+    lost = tmp_path / "tiles" / "job-0123"
+    lost.mkdir()
+    (lost / "mosaic_0_0_0.png").write_bytes(sinks.png_bytes(np.zeros((4, 4, 3), np.uint8)))
+    (lost / "task-ab.list").write_text("mosaic_0_0_0.png")
+    columns = ["strip_id", "ty", "tx", "w", "h", "bgr"]
+    found = {tuple(r) for r in sinks.read_tile_images(spark, path).select(*columns).collect()}
+    assert found == {tuple(r) for r in table.select(*columns).collect()} and len(found) == 4
+
+
 def _flight(n, step=70, height=200, width=240, blank=()):
     scene = ground(step * (n - 1) + height, width)
     images = [scene[step * k : step * k + height] for k in range(n)]
