@@ -30,6 +30,7 @@ def main():
     tables["log"].report().show(50, truncate=False)
     tables["counts"].show()
     tables["status"].where("status <> 'ok'").show(truncate=False)
+    tables["failures"].show(truncate=False)
     clear_shared(spark)
     spark.stop()
 

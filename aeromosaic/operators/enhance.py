@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeromosaic.functions import filters
+from aeromosaic.functions.failures import FAILED, FAILED_FIELD, failure
 from aeromosaic.functions.ordering import attach, settle, spread
 from aeromosaic.functions.raster import as_image, per_row
 from aeromosaic.schemas import MOSAIC
@@ -74,15 +75,15 @@ def _padded(rows: list[dict], r: int):
     return own, np.pad(whole, sides, mode="reflect")
 
 
-def stencil(mosaic: DataFrame, r: int, steps: dict) -> DataFrame:
+def stencil_tried(mosaic: DataFrame, r: int, steps: dict) -> DataFrame:
     """Apply filters that look r pixels around; one halo exchange for all of them.
 
     ``steps`` names functions from a padded image (r extra pixels per side, more
     than a function needs are cut off) to the inside. Result rows carry the name
     in ``variant``. Full tiles must be at least r wide. A filter that fails leaves
-    the tile as it was.
+    the tile as it was and says so in ``failed``.
     """
-    schema = pa.schema([*_MOSAIC, ("variant", pa.string())])
+    schema = pa.schema([*_MOSAIC, ("variant", pa.string()), FAILED_FIELD])
 
     def run(table: pa.Table) -> pa.Table:
         own, image = _padded(table.to_pylist(), r)
@@ -93,17 +94,27 @@ def stencil(mosaic: DataFrame, r: int, steps: dict) -> DataFrame:
         for name, (need, function) in steps.items():
             spare = r - need
             inner = image[spare : image.shape[0] - spare, spare : image.shape[1] - spare]
+            failed = None
             try:
                 result = function(inner)
-            except Exception:
+            except Exception as problem:
                 result = image[r : r + own["h"], r : r + own["w"]]
+                item = "/".join(str(own[c]) for c in ("strip_id", "ty", "tx"))
+                failed = failure(f"filter {name}".strip(), item, problem)
             done.append(
-                {**place, "bgr": result.tobytes(), "covered": own["covered"], "variant": name}
+                {**place, "bgr": result.tobytes(), "covered": own["covered"], "variant": name, "failed": failed}
             )
         return pa.Table.from_pylist(done, schema=schema)
 
     pieces = mosaic.mapInArrow(per_row(_pieces(r), _PIECE), _PIECE_DDL)
-    return spread(pieces, *_TILE).groupBy(*_TILE).applyInArrow(run, MOSAIC + ", variant string")
+    return spread(pieces, *_TILE).groupBy(*_TILE).applyInArrow(
+        run, f"{MOSAIC}, variant string, {FAILED}"
+    )
+
+
+def stencil(mosaic: DataFrame, r: int, steps: dict) -> DataFrame:
+    """The pictures of ``stencil_tried``."""
+    return stencil_tried(mosaic, r, steps).drop("failed")
 
 
 def _one(mosaic, need, function):
@@ -287,17 +298,26 @@ def enhanced(cropped: DataFrame) -> DataFrame:
     )
 
 
+def _smoothed_tried(uncropped):
+    steps = _smoothers()
+    return stencil_tried(uncropped, max(need for need, _ in steps.values()), steps)
+
+
 def smoothed(uncropped: DataFrame) -> DataFrame:
     """The four smoothing variants, all from one halo exchange."""
-    steps = _smoothers()
-    return stencil(uncropped, max(need for need, _ in steps.values()), steps)
+    return _smoothed_tried(uncropped).drop("failed")
 
 
-def variants(uncropped: DataFrame, cropped: DataFrame) -> DataFrame:
-    """Every output picture in one table, told apart by ``variant``."""
-    return (
+def variants_tried(uncropped: DataFrame, cropped: DataFrame) -> DataFrame:
+    """``variants`` with a column ``failed`` on tiles that a smoothing filter left as they were."""
+    whole = (
         uncropped.withColumn("variant", F.lit("uncropped"))
         .unionByName(cropped.withColumn("variant", F.lit("cropped")))
         .unionByName(enhanced(cropped))
-        .unionByName(smoothed(uncropped))
     )
+    return whole.unionByName(_smoothed_tried(uncropped), allowMissingColumns=True)
+
+
+def variants(uncropped: DataFrame, cropped: DataFrame) -> DataFrame:
+    """Every output picture in one table, told apart by ``variant``."""
+    return variants_tried(uncropped, cropped).drop("failed")

@@ -8,7 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeromosaic.functions.ordering import number_rows, settle
+from aeromosaic.functions.failures import FAILED, split, succeeded, tried
+from aeromosaic.functions.ordering import number_rows
 from aeromosaic.functions.raster import as_image, per_row, shrink_area
 from aeromosaic.schemas import FRAMES, TILES, empty
 
@@ -106,12 +107,14 @@ _FRAME = pa.schema(
 
 
 def _resized(row):
+    if row["height"] < 0:
+        raise ValueError("not an image")
     image, scale = _bgr(row), row["scale"]
     h, w = row["height"], row["width"]
     if scale < 1.0:
         h, w = int(h * scale), int(w * scale)
         if not (h and w):
-            return
+            raise ValueError("no pixels left")
         image = shrink_area(image, h, w)
     yield {
         "name": row["name"], "height": h, "width": w, "n_channels": 3,
@@ -119,19 +122,27 @@ def _resized(row):
     }
 
 
-def resize_area(frames: DataFrame) -> DataFrame:
-    """Frames shrunk by their ``scale`` column, each target pixel the mean of its area."""
+def resize_tried(frames: DataFrame) -> DataFrame:
+    """``resize_area`` with failures: what is no image, and frames that shrink to nothing."""
     rest = FRAMES.replace("frame_idx int, ", "")
     columns = [f.split()[0] for f in rest.split(", ")]
-    return frames.select(*columns).mapInArrow(per_row(_resized, _FRAME), rest)
+    run = tried("load", lambda row: row["name"], _resized, _FRAME)
+    return frames.select(*columns).mapInArrow(run, f"{rest}, {FAILED}")
 
 
-def decode(spark: SparkSession, directory: str, formats=FORMATS) -> DataFrame:
+def resize_area(frames: DataFrame) -> DataFrame:
+    """Frames shrunk by their ``scale`` column, each target pixel the mean of its area."""
+    return succeeded(resize_tried(frames))
+
+
+def decode(
+    spark: SparkSession, directory: str, formats=FORMATS, keep_invalid: bool = False
+) -> DataFrame:
     """Readable images of a directory: (name, height, width, n_channels, pixels) with BGR pixels.
 
-    Files that are no image, or vanish while being read, are left out.
+    Files that are no image are left out, or with ``keep_invalid`` have sizes below zero.
     """
-    reader = spark.read.format("image").option("dropInvalid", True)
+    reader = spark.read.format("image").option("dropInvalid", not keep_invalid)
     images = _loaded(reader.option("pathGlobFilter", _glob(formats)), directory)
     if images is None:
         return empty(
@@ -147,16 +158,16 @@ def decode(spark: SparkSession, directory: str, formats=FORMATS) -> DataFrame:
     )
 
 
-def load_frames(
+def load_tried(
     spark: SparkSession, directory: str, formats=FORMATS, box: tuple[int, int] | str | None = None
-) -> DataFrame:
-    """Scan, decode, shrink and number the frames of a directory.
+) -> tuple[DataFrame, DataFrame]:
+    """The frames of a directory, scanned, decoded, shrunk and numbered; and the files that failed.
 
     Frames keep their size unless ``box`` is a width and height to fit them into, or
     "by_count", which takes the box from the number of files found (``BOXES``). The numbers
     run over the files that could be read. Pixels are written once, and only names are sorted.
     """
-    raw, width, height = decode(spark, directory, formats), F.col("width"), F.col("height")
+    raw, width, height = decode(spark, directory, formats, True), F.col("width"), F.col("height")
     if box is None:
         scale = F.lit(1.0)
     elif box == "by_count":
@@ -165,11 +176,19 @@ def load_frames(
         scale = fit_scale(width, height, F.col("n_files"))
     else:
         scale = F.least(F.lit(float(box[0])) / width, F.lit(float(box[1])) / height, F.lit(1.0))
-    ready = settle(resize_area(raw.withColumn("scale", scale)))
+    ready, failures = split(resize_tried(raw.withColumn("scale", scale)))
     numbers = number_frames(ready.select("name"))
-    return numbers.join(ready, "name").select(
+    frames = numbers.join(ready, "name").select(
         "frame_idx", "name", "height", "width", "n_channels", "scale", "pixels"
     )
+    return frames, failures
+
+
+def load_frames(
+    spark: SparkSession, directory: str, formats=FORMATS, box: tuple[int, int] | str | None = None
+) -> DataFrame:
+    """The frames of ``load_tried`` alone."""
+    return load_tried(spark, directory, formats, box)[0]
 
 
 def load_counts(files: DataFrame, frames: DataFrame) -> DataFrame:

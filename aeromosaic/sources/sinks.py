@@ -29,7 +29,7 @@ def png_bytes(bgr: np.ndarray) -> bytes:
     rgb = np.ascontiguousarray(bgr[..., ::-1])
     h, w = rgb.shape[:2]
     lines = np.zeros((h, 1 + 3 * w), dtype=np.uint8)
-    lines[:, 1:] = rgb.reshape(h, -1)
+    lines[:, 1:] = rgb.reshape(h, 3 * w)
 
     def chunk(kind, body):
         check = zlib.crc32(kind + body)
