@@ -57,19 +57,32 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys)
 
 
-def attach(rows: DataFrame, small: DataFrame, key: str, row_bytes: int = 64) -> DataFrame:
+def attach(rows: DataFrame, small: DataFrame, key: str | list[str], row_bytes: int = 64) -> DataFrame:
     """Inner join with a table that has one row for each key, where one key may own all rows.
 
     The small table is written, counted and sent to every task if it has at most ATTACHED bytes.
     Beyond that it is repeated for SALTS salts and the rows are dealt by key and salt, so that a
     key's rows spread either way.
     """
+    keys = [key] if isinstance(key, str) else key
     small = settle(small)
     if small.count() * row_bytes <= ATTACHED:
-        return rows.join(F.broadcast(small), key)
+        return rows.join(F.broadcast(small), keys)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = rows.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
-    return dealt.join(salted, [key, "_salt"]).drop("_salt")
+    return dealt.join(salted, [*keys, "_salt"]).drop("_salt")
+
+
+def with_least(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """The rows with the smallest ``value`` of their key, where one key may own most rows.
+
+    Minima are taken by key and salt first, and go back to the rows by key and salt.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(*keys, "_salt").agg(F.min(value).alias("_least"))
+    least = parts.groupBy(*keys).agg(F.min("_least").alias(out))
+    known = parts.drop("_least").join(least, keys)
+    return salted.join(known, [*keys, "_salt"]).drop("_salt")
 
 
 def number_rows(df: DataFrame, order: list, out: str) -> DataFrame:

@@ -30,6 +30,11 @@ def _pieces(r):
     """The tile for itself, and its border strips for the neighbours that need them."""
 
     def cut(row):
+        if row["bgr"] is None:
+            piece = {c: None for c in _PIECE.names}
+            piece.update({c: row[c] for c in (*_TILE, *_PLACE)}, px=row["x0"], py=row["y0"], pw=0, ph=0)
+            yield piece
+            return
         image = as_image(row["bgr"], row["h"], row["w"])
         x, y, w, h = (row[c] for c in ("x0", "y0", "w", "h"))
         spans = {-1: (0, r), 0: (0, max(w, h)), 1: (-r, None)}
@@ -56,10 +61,14 @@ def _pieces(r):
 
 
 def _padded(rows: list[dict], r: int):
-    """The tile's row and its pixels with r more on each side, mirrored at the canvas edge."""
+    """The tile's row and its pixels with r more on each side, mirrored at the canvas edge.
+
+    No row for strips sent to a tile that does not exist, no pixels for a blank tile among blank ones.
+    """
     own = next((row for row in rows if row["w"] is not None), None)
-    if own is None:
-        return None, None
+    rows = [row for row in rows if row["pixels"] is not None]
+    if own is None or not rows:
+        return own, None
     x, y, w, h = (own[c] for c in ("x0", "y0", "w", "h"))
     left, top = min(r, x), min(r, y)
     right, low = min(r, own["width"] - x - w), min(r, own["height"] - y - h)
@@ -81,15 +90,19 @@ def stencil_tried(mosaic: DataFrame, r: int, steps: dict) -> DataFrame:
     ``steps`` names functions from a padded image (r extra pixels per side, more
     than a function needs are cut off) to the inside. Result rows carry the name
     in ``variant``. Full tiles must be at least r wide. A filter that fails leaves
-    the tile as it was and says so in ``failed``.
+    the tile as it was and says so in ``failed``. A tile of null pixels is black; it stays null
+    where all around it are.
     """
     schema = pa.schema([*_MOSAIC, ("variant", pa.string()), FAILED_FIELD])
 
     def run(table: pa.Table) -> pa.Table:
         own, image = _padded(table.to_pylist(), r)
-        if own is None:  # strips sent to a tile that does not exist
+        if own is None:
             return schema.empty_table()
         place = {c: own[c] for c in (*_TILE, *_PLACE)}
+        if image is None:
+            return pa.Table.from_pylist([{**place, "variant": name} for name in steps], schema=schema)
+        covered = own["covered"] or bytes(own["w"] * own["h"])
         done = []
         for name, (need, function) in steps.items():
             spare = r - need
@@ -102,7 +115,7 @@ def stencil_tried(mosaic: DataFrame, r: int, steps: dict) -> DataFrame:
                 item = "/".join(str(own[c]) for c in ("strip_id", "ty", "tx"))
                 failed = failure(f"filter {name}".strip(), item, problem)
             done.append(
-                {**place, "bgr": result.tobytes(), "covered": own["covered"], "variant": name, "failed": failed}
+                {**place, "bgr": result.tobytes(), "covered": covered, "variant": name, "failed": failed}
             )
         return pa.Table.from_pylist(done, schema=schema)
 
@@ -150,24 +163,28 @@ def nlmeans(mosaic: DataFrame, h=10.0, h_color=10.0, template=7, search=21) -> D
     return _one(mosaic, need, lambda image: filters.nlmeans(image, h, h_color, template, search))
 
 
-def _smoothers():
+def _smoothers(template, search):
     """The four smoothing variants with the pixels they need around them."""
     r, blur = _blur(7, 0.0)
+    need = search // 2 + template // 2
+
+    def means(image):
+        return filters.nlmeans(image, template=template, search=search)
 
     def combo(image):
-        return blur(filters.nlmeans(filters.bilateral(image)))
+        return blur(means(filters.bilateral(image)))
 
     return {
         "bilateral": (4, filters.bilateral),
-        "nlmeans": (13, filters.nlmeans),
+        "nlmeans": (need, means),
         "gaussian": (r, blur),
-        "smooth_combo": (4 + 13 + r, combo),
+        "smooth_combo": (4 + need + r, combo),
     }
 
 
-def smooth_combo(mosaic: DataFrame) -> DataFrame:
+def smooth_combo(mosaic: DataFrame, template: int = 7, search: int = 21) -> DataFrame:
     """Bilateral, then non-local means, then Gaussian, over one wide halo instead of three."""
-    need, function = _smoothers()["smooth_combo"]
+    need, function = _smoothers(template, search)["smooth_combo"]
     return _one(mosaic, need, function)
 
 
@@ -182,6 +199,9 @@ def from_lab(mosaic: DataFrame) -> DataFrame:
 
 def _pointwise(mosaic, function):
     def run(row):
+        if row["bgr"] is None:
+            yield row
+            return
         yield {**row, "bgr": function(as_image(row["bgr"], row["h"], row["w"])).tobytes()}
 
     return mosaic.select(*_MOSAIC.names).mapInArrow(per_row(run, _MOSAIC), MOSAIC)
@@ -191,21 +211,28 @@ def _pointwise(mosaic, function):
 
 
 def _cells(x, length, n):
-    """Cell of each coordinate, and of its mirror image where that fills the last cell."""
+    """Cells of each coordinate and of its mirror images that fill the n cells, -1 for none."""
     cell = -(-length // n)
-    mirror = 2 * length - 2 - x
-    return x // cell, np.where((mirror >= length) & (mirror < cell * n), mirror // cell, -1)
+    turn = max(2 * length - 2, 1)
+    found = []
+    for k in range(-(-cell * n // turn)):
+        for place, own in ((x + k * turn, (k == 0) | (x > 0) | (length == 1)), ((k + 1) * turn - x, x < length - 1)):
+            found.append(np.where(own & (place < cell * n), place // cell, -1))
+    return found
 
 
 def cell_histograms(mosaic: DataFrame, grid: int = 8) -> DataFrame:
     """(strip_id, cy, cx, level, n): lightness counts per grid cell, added up per tile first.
 
-    Cells are equal; the canvas is mirrored at its right and lower edge to fill them.
+    Cells are equal; the canvas is mirrored at its right and lower edge to fill them. What no
+    tile shows is black.
     """
     names = ["strip_id", "cy", "cx", "level", "n"]
     schema = pa.schema([(c, pa.int32()) for c in names[:4]] + [("n", pa.int64())])
 
     def count(row):
+        if row["bgr"] is None:
+            return
         light = filters.to_lab(as_image(row["bgr"], row["h"], row["w"]))[..., 0].astype(np.int64)
         xs = _cells(np.arange(row["x0"], row["x0"] + row["w"]), row["width"], grid)
         ys = _cells(np.arange(row["y0"], row["y0"] + row["h"]), row["height"], grid)
@@ -221,7 +248,18 @@ def cell_histograms(mosaic: DataFrame, grid: int = 8) -> DataFrame:
             yield dict(zip(names, values))
 
     part = mosaic.mapInArrow(per_row(count, schema), "strip_id int, cy int, cx int, level int, n long")
-    return part.groupBy("strip_id", "cy", "cx", "level").agg(F.sum("n").alias("n"))
+    seen = part.groupBy("strip_id", "cy", "cx", "level").agg(F.sum("n").alias("n"))
+    high, wide = (F.ceil(F.max(c) / grid) for c in ("height", "width"))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
+    areas = (
+        mosaic.groupBy("strip_id").agg((high * wide).alias("area"))
+        .select("*", numbers.alias("cy")).select("*", numbers.alias("cx"))
+    )
+    shown = seen.groupBy("strip_id", "cy", "cx").agg(F.sum("n").alias("shown"))
+    black = areas.join(shown, ["strip_id", "cy", "cx"], "left").select(
+        "strip_id", "cy", "cx", F.lit(0).alias("level"), (F.col("area") - F.coalesce("shown", F.lit(0))).alias("n")
+    )
+    return seen.union(black.where("n > 0")).groupBy("strip_id", "cy", "cx", "level").agg(F.sum("n").alias("n"))
 
 
 def clahe_tables(histograms: DataFrame, clip: float = 2.0) -> DataFrame:
@@ -260,7 +298,10 @@ def _two(value):
 
 
 def clahe(mosaic: DataFrame, clip: float = 2.0, grid: int = 8) -> DataFrame:
-    """Lightness equalized by the tables of the four nearest cells, mixed by distance."""
+    """Lightness equalized by the tables of the four nearest cells, mixed by distance.
+
+    The tables lift black, so tiles of null pixels get some.
+    """
     tables = (
         clahe_tables(cell_histograms(mosaic, grid), clip)
         .groupBy("strip_id")
@@ -274,7 +315,8 @@ def clahe(mosaic: DataFrame, clip: float = 2.0, grid: int = 8) -> DataFrame:
         return np.clip(first, 0, grid - 1), np.clip(first + 1, 0, grid - 1), place - first
 
     def run(row):
-        image = filters.to_lab(as_image(row["bgr"], row["h"], row["w"]))
+        pixels = row["bgr"] or bytes(3 * row["h"] * row["w"])
+        image = filters.to_lab(as_image(pixels, row["h"], row["w"]))
         values = np.frombuffer(row["values"], np.uint8).astype(np.float64).reshape(grid, grid, 256)
         y1, y2, ay = near(np.arange(row["y0"], row["y0"] + row["h"]), row["height"])
         x1, x2, ax = near(np.arange(row["x0"], row["x0"] + row["w"]), row["width"])
@@ -284,6 +326,7 @@ def clahe(mosaic: DataFrame, clip: float = 2.0, grid: int = 8) -> DataFrame:
                 mixed = mixed + values[ys[:, None], xs[None, :], light] * (wy[:, None] * wx[None, :])
         image[..., 0] = np.clip(np.rint(np.round(mixed, 9)), 0, 255)
         kept = {c: row[c] for c in _MOSAIC.names}
+        kept["covered"] = kept["covered"] or bytes(row["h"] * row["w"])
         yield {**kept, "bgr": filters.from_lab(image).tobytes()}
 
     joined = attach(mosaic.select(*_MOSAIC.names), tables, "strip_id", grid * grid * 256)
@@ -298,26 +341,33 @@ def enhanced(cropped: DataFrame) -> DataFrame:
     )
 
 
-def _smoothed_tried(uncropped):
-    steps = _smoothers()
+def _smoothed_tried(uncropped, template, search):
+    steps = _smoothers(template, search)
     return stencil_tried(uncropped, max(need for need, _ in steps.values()), steps)
 
 
-def smoothed(uncropped: DataFrame) -> DataFrame:
+def smoothed(uncropped: DataFrame, template: int = 7, search: int = 21) -> DataFrame:
     """The four smoothing variants, all from one halo exchange."""
-    return _smoothed_tried(uncropped).drop("failed")
+    return _smoothed_tried(uncropped, template, search).drop("failed")
+
 
+def variants_tried(uncropped: DataFrame, cropped: DataFrame, template: int = 7, search: int = 21) -> DataFrame:
+    """``variants`` with a column ``failed`` on tiles that a smoothing filter left as they were.
 
-def variants_tried(uncropped: DataFrame, cropped: DataFrame) -> DataFrame:
-    """``variants`` with a column ``failed`` on tiles that a smoothing filter left as they were."""
+    Blank tiles of both pictures are wanted as rows of null pixels and not given back as such.
+    """
     whole = (
         uncropped.withColumn("variant", F.lit("uncropped"))
         .unionByName(cropped.withColumn("variant", F.lit("cropped")))
         .unionByName(enhanced(cropped))
     )
-    return whole.unionByName(_smoothed_tried(uncropped), allowMissingColumns=True)
+    every = whole.unionByName(_smoothed_tried(uncropped, template, search), allowMissingColumns=True)
+    return every.where(F.col("bgr").isNotNull())
+
 
+def variants(uncropped: DataFrame, cropped: DataFrame, template: int = 7, search: int = 21) -> DataFrame:
+    """Every output picture in one table, told apart by ``variant``.
 
-def variants(uncropped: DataFrame, cropped: DataFrame) -> DataFrame:
-    """Every output picture in one table, told apart by ``variant``."""
-    return variants_tried(uncropped, cropped).drop("failed")
+    ``template`` and ``search`` are the sizes of non-local means.
+    """
+    return variants_tried(uncropped, cropped, template, search).drop("failed")

@@ -212,15 +212,18 @@ def best_matches(matches: DataFrame, best: DataFrame) -> DataFrame:
     return matches.join(best.select(*_PAIR), _PAIR, "left_semi")
 
 
-def match_report(best: DataFrame, min_matches: int = 10) -> DataFrame:
-    """One VALID/INSUFFICIENT row per pair and one TOTAL row, from one grouping."""
+def match_report(best: DataFrame, min_matches: int = 10, names: DataFrame = None) -> DataFrame:
+    """One VALID/INSUFFICIENT row per pair and one TOTAL row, from one grouping.
+
+    ``names`` (frame_idx, name) adds name_i and name_j.
+    """
     valid = F.col("n_matches") >= min_matches
     verdict = (
         F.when(F.grouping_id() > 0, F.lit("TOTAL"))
         .when(F.sum(valid.cast("int")) > 0, F.lit("VALID"))
         .otherwise(F.lit("INSUFFICIENT"))
     )
-    return (
+    report = (
         best.groupingSets([["i", "j"], []], "i", "j")
         .agg(
             verdict.alias("verdict"),
@@ -230,3 +233,9 @@ def match_report(best: DataFrame, min_matches: int = 10) -> DataFrame:
         )
         .select("i", "j", "verdict", "n_matches", "valid_pairs", "n_pairs")
     )
+    if names is None:
+        return report
+    for side in "ij":
+        named = names.select(F.col("frame_idx").alias(side), F.col("name").alias(f"name_{side}"))
+        report = report.join(named, side, "left")
+    return report

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeromosaic.functions.geometry import apply_transform, bound, invertible, matmul
-from aeromosaic.functions.ordering import attach, settle, settle_marked, spread
+from aeromosaic.functions.ordering import attach, settle, settle_marked, spread, with_least
 from aeromosaic.functions.raster import as_image, bilinear, label_regions, per_row
 
 TILE = 512
@@ -333,14 +333,11 @@ def _finished(sums, key, x0, y0, width, height):
     return {**names, "bgr": bgr.tobytes(), "covered": covered.tobytes()}
 
 
-_PARTIAL = pa.schema(
-    [(c, pa.int32()) for c in (*_TILE, "x0", "y0", "w", "h", "width", "height")]
-    + [("sums", pa.binary())]
+_ADDED = pa.schema([*_MOSAIC, ("sums", pa.binary())])
+_MOSAIC_DDL = (
+    "strip_id int, tx int, ty int, x0 int, y0 int, w int, h int, width int, height int, "
+    "bgr binary, covered binary"
 )
-_PARTIAL_DDL = (
-    "strip_id int, tx int, ty int, x0 int, y0 int, w int, h int, width int, height int, sums binary"
-)
-_MOSAIC_DDL = _PARTIAL_DDL.replace("sums binary", "bgr binary, covered binary")
 
 
 def _rows_of(batches):
@@ -349,18 +346,16 @@ def _rows_of(batches):
             yield {n: batch.column(n)[k].as_py() for n in batch.schema.names}
 
 
-def _adder(size, weight, finish):
+def _adder(size, weight):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = None
         for row in _rows_of(batches):
             if sums is None:
                 key = [row[c] for c in _TILE]
                 x0, y0 = row["tx"] * size, row["ty"] * size
-                width, height = row["width"], row["height"]
+                width, height, parts = row["width"], row["height"], row["parts"]
                 shape = (min(size, height - y0), min(size, width - x0), 4)
                 sums = np.zeros(shape, dtype=np.int64)
-            if row["pixels"] is None:
-                continue
             try:
                 found = warp_patch(row, size, weight)
             except Exception:  # a frame that cannot be warped is left out
@@ -370,13 +365,12 @@ def _adder(size, weight, finish):
                 part = sums[y - y0 : y - y0 + w.shape[0], x - x0 : x - x0 + w.shape[1]]
                 part[..., :3] += colour
                 part[..., 3] += w
-        if finish:
-            done = [_finished(sums, key, x0, y0, width, height)]
-            yield pa.RecordBatch.from_pylist(done, schema=_MOSAIC)
+        if parts is None:
+            done = _finished(sums, key, x0, y0, width, height)
         else:
             done = dict(zip(_TILE, key), x0=x0, y0=y0, w=shape[1], h=shape[0])
             done.update(width=width, height=height, sums=sums.tobytes())
-            yield pa.RecordBatch.from_pylist([done], schema=_PARTIAL)
+        yield pa.RecordBatch.from_pylist([done], schema=_ADDED)
 
     return add
 
@@ -393,47 +387,51 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def blend(
-    tiles: DataFrame,
-    shifted: DataFrame,
-    canvases: DataFrame,
-    size: int = TILE,
-    weight: str = "uniform",
+    tiles: DataFrame, shifted: DataFrame, size: int = TILE, weight: str = "uniform"
 ) -> DataFrame:
-    """The blended canvas: sum of weighted colours over sum of weights, 0 where nothing is.
+    """The blended canvas tiles that a frame touches: sum of weighted colours over sum of weights.
 
-    Patches are added as a stream per tile. Tiles under very many patches are
-    summed in parts first; the sums are whole numbers, so parts and order do not
-    change the result.
+    What no frame touches has no row; ``fill`` lists it. Patches are added as a stream per (tile, part).
+    A tile has more than one part if very many patches lie on it; their sums are whole numbers, so parts
+    and order do not change the result.
     """
     cut = settle(patches(tiles, shifted, size))  # counted, then added up
+    load = cut.groupBy(*_TILE).agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+    crowded = settle(load.select(*_TILE, F.ceil(F.sqrt(F.col("n"))).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("frame_idx", "bx", "by"), F.col("parts"))
+    dealt = cut.join(crowded, _TILE, "left").withColumn("part", F.coalesce(part, F.lit(0)))
+    keys = [*_TILE, "part"]
+    added = spread(dealt, *keys).groupBy(*keys).applyInArrow(
+        _adder(size, weight), f"{_MOSAIC_DDL}, sums binary"
+    )
+    if crowded.isEmpty():
+        return added.drop("sums")
+    added = settle(added)
+    parts = added.where("sums is not null").drop("bgr", "covered")
+    merged = parts.groupBy(*_TILE).applyInArrow(_merge, _MOSAIC_DDL)
+    return added.where("sums is null").drop("sums").union(merged)
+
+
+def fill(mosaic: DataFrame, canvases: DataFrame, size: int = TILE) -> DataFrame:
+    """The mosaic with a row for each tile of the canvas that it lacks, of null pixels: blank ones."""
     usable = canvases.where(~F.col("refused") & (F.col("width") > 0) & (F.col("height") > 0))
 
     def steps(side):
         return F.explode(F.sequence(F.lit(0), F.floor((F.col(side) - 1) / size).cast("int")))
 
-    blank = usable.select("strip_id", "width", "height", steps("width").alias("tx")).select(
-        "*", steps("height").alias("ty")
-    )
-    every = cut.unionByName(blank, allowMissingColumns=True)
-    load = cut.groupBy(*_TILE).agg(F.count("*").alias("n"))
-    crowded = settle(
-        load.where(F.col("n") > CROWD).select(
-            *_TILE, F.ceil(F.sqrt(F.col("n"))).cast("int").alias("parts")
+    x0, y0 = F.col("tx") * size, F.col("ty") * size
+    blank = (
+        usable.select("strip_id", "width", "height", steps("width").alias("tx"))
+        .select("*", steps("height").alias("ty"))
+        .join(mosaic.select(*_TILE), _TILE, "left_anti")
+        .select(
+            *_TILE, x0.alias("x0"), y0.alias("y0"),
+            F.least(F.lit(size), F.col("width") - x0).alias("w"),
+            F.least(F.lit(size), F.col("height") - y0).alias("h"),
+            "width", "height",
         )
     )
-    if crowded.isEmpty():
-        return spread(every, *_TILE).groupBy(*_TILE).applyInArrow(
-            _adder(size, weight, True), _MOSAIC_DDL
-        )
-    quiet = every.join(crowded, _TILE, "left_anti")
-    part = F.pmod(F.xxhash64("frame_idx", "bx", "by"), F.col("parts")).alias("part")
-    split = every.join(crowded, _TILE).select("*", part)
-    summed = split.groupBy(*_TILE, "part").applyInArrow(_adder(size, weight, False), _PARTIAL_DDL)
-    return (
-        quiet.groupBy(*_TILE)
-        .applyInArrow(_adder(size, weight, True), _MOSAIC_DDL)
-        .union(summed.groupBy(*_TILE).applyInArrow(_merge, _MOSAIC_DDL))
-    )
+    return mosaic.select(*_MOSAIC.names).unionByName(blank, allowMissingColumns=True)
 
 
 def grey(b: Column, g: Column, r: Column) -> Column:
@@ -447,12 +445,14 @@ def _grey_image(image: np.ndarray) -> np.ndarray:
 
 
 def pixels(mosaic: DataFrame) -> DataFrame:
-    """Long form: one row per pixel (strip_id, x, y, b, g, r, covered)."""
+    """Long form: one row per pixel of the tiles that have any (strip_id, x, y, b, g, r, covered)."""
     names = ["strip_id", "x", "y", "b", "g", "r", "covered"]
 
     def listed(batches):
         for batch in batches:
             for row in _rows_of([batch]):
+                if row["bgr"] is None:
+                    continue
                 image = as_image(row["bgr"], row["h"], row["w"])
                 y, x = np.mgrid[0 : row["h"], 0 : row["w"]]
                 seen = np.frombuffer(row["covered"], dtype=np.uint8)
@@ -483,29 +483,33 @@ def _tile_regions(threshold, eight):
 
     A region is named by the reading-order number of its first pixel on the
     canvas. ``rim`` lists its pixels on the tile's edge, ``outside`` says whether
-    it reaches the canvas edge.
+    it reaches the canvas edge. Dark regions without a rim are holes and not listed; of the
+    others without one only the largest is, the first of equals.
     """
 
     def find(row):
         h, w, width, height = row["h"], row["w"], row["width"], row["height"]
-        dark = _grey_image(as_image(row["bgr"], h, w)) <= threshold
+        if row["bgr"] is None:
+            dark = np.ones((h, w), dtype=bool)
+        else:
+            dark = _grey_image(as_image(row["bgr"], h, w)) <= threshold
         mask = dark
         if eight:
             mask = ~dark
             if dark.any():
                 image, runs = label_regions(dark, False)
-                names = _names(runs, row)
-                outer = np.isin(names, np.array(row["outer"] or [], dtype=np.int64))
+                outer = np.isin(_names(runs, row), np.array(row["outer"] or [], dtype=np.int64))
+                # a dark region that has no name among the outer ones is a hole
                 mask = mask | ((image >= 0) & ~outer[image])
         if not mask.any():
-            return
+            return None
         image, runs = label_regions(mask, eight)
         names = _names(runs, row)
         label, x1, x2, y = runs["label"], runs["start"], runs["end"], runs["row"]
-        kept, of = np.unique(label, return_inverse=True)
+        every, of = np.unique(label, return_inverse=True)
 
         def least(values):
-            out = np.full(len(kept), np.iinfo(np.int64).max)
+            out = np.full(len(every), np.iinfo(np.int64).max)
             np.minimum.at(out, of, values)
             return out
 
@@ -515,20 +519,29 @@ def _tile_regions(threshold, eight):
         edge[[0, -1], :] = True
         edge[:, [0, -1]] = True
         ey, ex = np.nonzero(edge & mask)
-        owner = np.searchsorted(kept, image[ey, ex])
-        place = (ey + row["y0"]) * width + ex + row["x0"]
+        owner = np.searchsorted(every, image[ey, ex])
         order = np.argsort(owner, kind="stable")
-        rims = np.split(place[order], np.searchsorted(owner[order], np.arange(1, len(kept))))
-        for k, run in enumerate(kept):
-            box = [left[k] + row["x0"], top[k] + row["y0"], right[k] + row["x0"], low[k] + row["y0"]]
-            at_edge = box[0] == 0 or box[1] == 0 or box[2] == width - 1 or box[3] == height - 1
-            yield dict(
-                zip(_REGION.names, [row["strip_id"], row["tx"], row["ty"], names[run], n[k], *box]),
-                outside=bool(at_edge),
-                rim=rims[k],
-            )
+        place = ((ey + row["y0"]) * np.int64(width) + ex + row["x0"])[order]
+        lengths = np.bincount(owner, minlength=len(every))
+        kept = lengths > 0
+        if eight and not kept.all():
+            kept[np.flatnonzero(~kept)[np.argmax(n[~kept])]] = True
+        box = [left + row["x0"], top + row["y0"], right + row["x0"], low + row["y0"]]
+        outside = (box[0] == 0) | (box[1] == 0) | (box[2] == width - 1) | (box[3] == height - 1)
+        ends = np.r_[0, np.cumsum(lengths[kept])]
+        columns = [np.full(kept.sum(), row[c]) for c in _TILE]
+        columns += [c[kept] for c in (names[every], n, *box, outside)]
+        arrays = [pa.array(c, f.type) for c, f in zip(columns, _REGION)]
+        rims = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int64()))
+        return pa.RecordBatch.from_arrays([*arrays, rims], schema=_REGION)
+
+    def run(batches):
+        for row in _rows_of(batches):
+            found = find(row)
+            if found is not None:
+                yield found
 
-    return find
+    return run
 
 
 def _names(runs, row):
@@ -565,22 +578,20 @@ def connected_roots(edges: DataFrame) -> DataFrame:
 
     Alternates hooking to the smallest neighbour over larger and over smaller
     names; the number of rounds grows with the logarithm of the longest path. Ends
-    when no edge is new, which is counted.
+    when no edge is new, which is counted. A name with many neighbours is dealt by salts.
     """
     key = ["strip_id", "u"]
     edges, (left,) = settle_marked(edges, F.count("*"))
     while left:
         both = edges.union(edges.select("strip_id", F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(*key).agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
-            both.where("v > u")
-            .join(least, key)
-            .select("strip_id", F.col("v").alias("u"), F.col("m").alias("v"))
+            with_least(both, key, "v", "m")
+            .where("v > u")
+            .select("strip_id", F.col("v").alias("u"), F.least("m", "u").alias("v"))
             .distinct()
         )
-        lowest = large.groupBy(*key).agg(F.min("v").alias("m"))
         small = (
-            large.join(lowest, key)
+            with_least(large, key, "v", "m")
             .select("strip_id", F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
             .where("u > v")
             .distinct()
@@ -602,21 +613,22 @@ def crop_box(mosaic: DataFrame, threshold: int = 1) -> DataFrame:
 
     Dark regions that reach the canvas edge are outside; everything else,
     8-connected, is a region with its holes filled. Regions are found inside
-    tiles and joined along tile edges. Without any bright pixel the box is the
+    tiles and joined along tile edges. Tiles of null pixels are dark; those of no row are
+    not looked at (``fill`` lists them). Without any bright pixel the box is the
     whole canvas, with area 0. The mosaic is read more than once: give a written one.
     """
     sizes = mosaic.groupBy("strip_id").agg(F.max("width").alias("width"), F.max("height").alias("height"))
     flat = mosaic.select(*_MOSAIC.names[:-1])
-    dark = settle(flat.mapInArrow(per_row(_tile_regions(threshold, False), _REGION), _REGION_DDL))
+    dark = settle(flat.mapInArrow(_tile_regions(threshold, False), _REGION_DDL))
     merged = _merged(dark, _joined_regions(dark, sizes, False))
     outer = merged.groupBy("strip_id", "root").agg(F.bool_or("outside").alias("out")).where("out")
     outer = (
-        merged.join(outer, ["strip_id", "root"], "left_semi")
+        attach(merged, outer.select("strip_id", "root"), ["strip_id", "root"])
         .groupBy(*_TILE)
         .agg(F.collect_list("region").alias("outer"))
     )
     known = flat.join(outer, _TILE, "left")
-    filled = settle(known.mapInArrow(per_row(_tile_regions(threshold, True), _REGION), _REGION_DDL))
+    filled = settle(known.mapInArrow(_tile_regions(threshold, True), _REGION_DDL))
     whole = _merged(filled, _joined_regions(filled, sizes, True))
     totals = whole.groupBy("strip_id", "root").agg(
         F.sum("n").alias("area"),
@@ -643,13 +655,15 @@ def _trim(row):
     x2 = min(row["x0"] + row["w"], row["cx"] + row["cw"])
     y2 = min(row["y0"] + row["h"], row["cy"] + row["ch"])
     inside = np.s_[y1 - row["y0"] : y2 - row["y0"], x1 - row["x0"] : x2 - row["x0"]]
-    bgr = as_image(row["bgr"], row["h"], row["w"])[inside]
-    covered = as_image(row["covered"], row["h"], row["w"], 1)[inside]
+    bgr = covered = None
+    if row["bgr"] is not None:
+        bgr = as_image(row["bgr"], row["h"], row["w"])[inside].tobytes()
+        covered = as_image(row["covered"], row["h"], row["w"], 1)[inside].tobytes()
     yield {
         "strip_id": row["strip_id"], "tx": row["tx"] - row["ftx"], "ty": row["ty"] - row["fty"],
         "x0": x1 - row["cx"], "y0": y1 - row["cy"], "w": x2 - x1, "h": y2 - y1,
         "width": row["cw"], "height": row["ch"],
-        "bgr": bgr.tobytes(), "covered": covered.tobytes(),
+        "bgr": bgr, "covered": covered,
     }
 
 
@@ -699,36 +713,54 @@ def warp(cut: DataFrame, size: int = TILE, weight: str = "uniform") -> DataFrame
 
 
 def overview(mosaic: DataFrame, k: int = 8) -> DataFrame:
-    """Mean colour per k x k cell: (strip_id, x, y, b, g, r). Tiles add up their cells first."""
-    names = ["strip_id", "x", "y", "b", "g", "r", "n"]
+    """Mean colour per k x k cell: (strip_id, x, y, b, g, r). Tiles add up their cells first.
+
+    What has no tile counts as black, but cells of nothing else are not listed.
+    """
+    names = ["strip_id", "x", "y", "b", "g", "r", "width", "height"]
 
     def sums(batches):
         for batch in batches:
             for row in _rows_of([batch]):
+                if row["bgr"] is None:
+                    continue
                 image = as_image(row["bgr"], row["h"], row["w"]).astype(np.int64)
                 ys, xs = (np.arange(row[n]) + row[o] for n, o in (("h", "y0"), ("w", "x0")))
                 wide = xs[-1] // k - xs[0] // k + 1
                 cell = (ys // k - ys[0] // k)[:, None] * wide + (xs // k - xs[0] // k)[None, :]
-                n = np.bincount(cell.ravel())
-                at = np.arange(len(n))
-                cells = [np.full(len(n), row["strip_id"]), at % wide + xs[0] // k, at // wide + ys[0] // k]
+                at = np.arange(cell[-1, -1] + 1)
+                cells = [np.full(len(at), row["strip_id"]), at % wide + xs[0] // k, at // wide + ys[0] // k]
                 cells += [np.bincount(cell.ravel(), weights=image[..., c].ravel()) for c in range(3)]
-                arrays = [pa.array(c.astype(np.int64)) for c in [*cells, n]]
+                cells += [np.full(len(at), row[c]) for c in names[6:]]
+                arrays = [pa.array(c.astype(np.int64)) for c in cells]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     part = mosaic.mapInArrow(sums, ", ".join(f"{n} long" for n in names))
-    means = [(F.sum(c) / F.sum("n")).alias(c) for c in "bgr"]
-    spot = [F.col(c).cast("int").alias(c) for c in names[:3]]
-    return part.groupBy(*spot).agg(*means)
+    sums = part.groupBy(*[F.col(c).cast("int").alias(c) for c in names[:3]]).agg(
+        *[F.sum(c).alias(c) for c in "bgr"], *[F.max(c).alias(c) for c in names[6:]]
+    )
+    wide, high = (F.least((F.col(c) + 1).cast("long") * k, side) - F.col(c).cast("long") * k
+                  for c, side in (("x", "width"), ("y", "height")))
+    return sums.select(*names[:3], *[(F.col(c) / (wide * high)).alias(c) for c in "bgr"])
 
 
-def mosaic_summary(mosaic: DataFrame) -> DataFrame:
-    """Per strip: size, tiles, raw bytes and covered pixels."""
+def mosaic_summary(mosaic: DataFrame, status: DataFrame = None) -> DataFrame:
+    """Per strip: size, tiles, raw bytes and covered pixels.
+
+    With the ``pose_status`` of the run also the frames laid out and the frames left out.
+    """
     seen = F.length(F.translate(F.hex("covered"), "0", ""))  # bytes are 00 or 01
-    return mosaic.groupBy("strip_id").agg(
+    summary = mosaic.groupBy("strip_id").agg(
         F.max("width").alias("width"),
         F.max("height").alias("height"),
-        F.count("*").alias("n_tiles"),
+        F.count("bgr").alias("n_tiles"),
         F.sum(F.length("bgr").cast("long")).alias("n_bytes"),
         F.sum(seen.cast("long")).alias("covered"),
     )
+    if status is None:
+        return summary
+    used = status.groupBy("strip_id").agg(
+        F.count_if(F.col("status") == "ok").alias("frames_used"),
+        F.count_if(F.col("status") != "ok").alias("frames_left_out"),
+    )
+    return summary.join(used, "strip_id", "left")

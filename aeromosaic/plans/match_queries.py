@@ -46,27 +46,41 @@ def _chain_links(spark, sf_dir):
     return ch.chain_links(linked, best, wl.MIN_MATCHES)
 
 
-def _same_number(spark, sf_dir, detector):
-    """Each keypoint beside the one of the same number in the next frame."""
-    kps = wl.keypoints(spark, sf_dir).where(F.col("detector") == detector)
-    here = kps.select(F.col("frame_idx").alias("i"), "kp_id", "descriptor", "bits")
+def _segments(spark, sf_dir):
+    hops = settle(_hops(spark, sf_dir))
+    return ch.segments(settle(ch.chain(wl.keypoint_frames(spark, sf_dir), hops)), hops)
+
+
+def _candidates(spark, sf_dir, detector, distance):
+    """The two nearest of each pair of blocks, both directions, with their distance taken again."""
+    kps = settle(wl.keypoints(spark, sf_dir).where(F.col("detector") == detector))
+    found = mt.block_nearest(_pairs(spark, sf_dir), kps, size=16)
+    here = kps.select(F.col("frame_idx").alias("f"), F.col("kp_id").alias("src_kp"), "descriptor", "bits")
     there = kps.select(
-        (F.col("frame_idx") - 1).alias("i"),
-        "kp_id",
-        F.col("descriptor").alias("descriptor2"),
-        F.col("bits").alias("bits2"),
+        F.col("frame_idx").alias("g"), F.col("kp_id").alias("dst_kp"),
+        F.col("descriptor").alias("descriptor2"), F.col("bits").alias("bits2"),
+    )
+    forward = F.col("dir") == 0
+    sides = found.drop("distance", "error").withColumns(
+        {"f": F.when(forward, F.col("i")).otherwise(F.col("j")), "g": F.when(forward, F.col("j")).otherwise(F.col("i"))}
     )
-    return here.join(there, ["i", "kp_id"])
+    both = sides.join(here, ["f", "src_kp"]).join(there, ["g", "dst_kp"])
+    return both.select("i", "j", "dir", "src_kp", "dst_kp", distance.alias("distance"))
 
 
 def _l2(spark, sf_dir):
-    distance = F.round(l2_distance("descriptor", "descriptor2"), 6).alias("distance")
-    return _same_number(spark, sf_dir, "blob").select("i", "kp_id", distance)
+    return _candidates(spark, sf_dir, "blob", F.round(l2_distance("descriptor", "descriptor2"), 6))
 
 
 def _hamming(spark, sf_dir):
-    distance = hamming_distance("bits", "bits2").alias("distance")
-    return _same_number(spark, sf_dir, "corner").select("i", "kp_id", distance)
+    return _candidates(spark, sf_dir, "corner", hamming_distance("bits", "bits2"))
+
+
+def _report(spark, sf_dir):
+    names = wl.keypoint_frames(spark, sf_dir).select(
+        "frame_idx", F.concat(F.lit("frame-"), F.col("frame_idx").cast("string")).alias("name")
+    )
+    return mt.match_report(pair_best(spark, sf_dir), wl.MIN_MATCHES, names)
 
 
 def _rounded(df, *columns):
@@ -104,9 +118,11 @@ QUERIES = {
         "distance",
     ),
     "m10_match_report": lambda s, d: mt.match_report(pair_best(s, d), wl.MIN_MATCHES),
+    "m10_named_report": _report,
     "c1_next_hops": lambda s, d: _hops(s, d),
     "c2_strip_roots": lambda s, d: ch.strip_roots(wl.keypoint_frames(s, d), _hops(s, d)),
     "c3_chain": lambda s, d: walks(s, d),
+    "c3_segments": _segments,
     "c3_chain_revisit": lambda s, d: walks(s, d, revisit=True),
     "c4_chain_links": _chain_links,
     "c5_chain_rows": _chain_keypoints,
@@ -171,6 +187,10 @@ def _sql(body, final):
 
 
 _MATCHES = "SELECT i, j, detector, q_kp, t_kp, round(distance, 6) AS distance FROM matches"
+_BLOCKS = """SELECT i, j, dir, src_kp, dst_kp, {distance} AS distance
+  FROM (SELECT *, row_number() OVER (PARTITION BY i, j, dir, src_kp, dst_kp // 16
+                                     ORDER BY distance, dst_kp) AS place
+        FROM both_ways WHERE detector = '{detector}') WHERE place <= 2"""
 
 ORACLES = {
     "p1_adjacent_pairs": _sql(
@@ -192,17 +212,8 @@ ORACLES = {
         "SELECT i, j, detector, dim, words, a.n AS n_i, b.n AS n_j"
         " FROM pairs JOIN n a ON a.f = i JOIN n b ON b.f = j CROSS JOIN kinds",
     ),
-    "m2_l2_distance": _sql(
-        "",
-        "SELECT a.f AS i, a.k AS kp_id, round(list_distance(a.d, b.d), 6) AS distance"
-        " FROM kp a JOIN kp b ON b.f = a.f + 1 AND b.k = a.k",
-    ),
-    "m3_hamming_distance": _sql(
-        "",
-        "SELECT a.f AS i, a.k AS kp_id, CAST(list_sum(list_transform(range(1, 65),"
-        " lambda n: CASE WHEN a.s[n] = b.s[n] THEN 0 ELSE 1 END)) AS DOUBLE) AS distance"
-        " FROM kp a JOIN kp b ON b.f = a.f + 1 AND b.k = a.k",
-    ),
+    "m2_l2_distance": _sql(_KNN, _BLOCKS.format(detector="blob", distance="round(distance, 6)")),
+    "m3_hamming_distance": _sql(_KNN, _BLOCKS.format(detector="corner", distance="distance")),
     "m4_knn2": _sql(
         _KNN,
         "SELECT i, j, detector, dir, src_kp, dst_kp, round(distance, 6) AS distance,"
@@ -232,9 +243,24 @@ ORACLES = {
            CAST(sum(CAST(n_matches >= 7 AS INT)) AS BIGINT) AS valid_pairs, count(*) AS n_pairs
          FROM best GROUP BY GROUPING SETS ((i, j), ())""",
     ),
+    "m10_named_report": _sql(
+        _KNN,
+        """SELECT i, j, 'frame-' || i AS name_i, 'frame-' || j AS name_j, CASE WHEN grouping(i) = 1 THEN 'TOTAL'
+             WHEN sum(CAST(n_matches >= 7 AS INT)) > 0 THEN 'VALID'
+             ELSE 'INSUFFICIENT' END AS verdict,
+           CAST(sum(n_matches) AS BIGINT) AS n_matches,
+           CAST(sum(CAST(n_matches >= 7 AS INT)) AS BIGINT) AS valid_pairs, count(*) AS n_pairs
+         FROM best GROUP BY GROUPING SETS ((i, j), ())""",
+    ),
     "c1_next_hops": _sql(_KNN, "SELECT i, j FROM hops"),
     "c2_strip_roots": _sql(_KNN, "SELECT frame_idx FROM roots"),
     "c3_chain": _sql(_KNN, "SELECT strip_id, pos, frame_idx FROM owned"),
+    "c3_segments": _sql(
+        _KNN,
+        """SELECT l.strip_id, n_frames, o.strip_id AS next_strip, o.pos AS entry
+           FROM (SELECT strip_id, max(frame_idx) AS f, count(*) AS n_frames FROM owned GROUP BY 1) l
+           LEFT JOIN hops h ON h.i = l.f LEFT JOIN owned o ON o.frame_idx = h.j""",
+    ),
     "c3_chain_revisit": _sql(_KNN, "SELECT strip_id, pos, frame_idx FROM walk"),
     "c4_chain_links": _sql(
         _KNN,

@@ -32,12 +32,12 @@ def _placed(spark, sf_dir):
     frames = _frames(spark, sf_dir)
     canvases = _canvas(spark, sf_dir, frames, max_side=None, refuse_side=None)
     shifted = ms.shift(_poses(spark, sf_dir), canvases)
-    return im.to_tiles(frames, FRAME_TILE), shifted, canvases
+    return im.to_tiles(frames, FRAME_TILE), shifted
 
 
 def blended(spark, sf_dir, weight="uniform"):
-    tiles, shifted, canvases = _placed(spark, sf_dir)
-    return ms.blend(tiles, shifted, canvases, SIZE, weight)
+    tiles, shifted = _placed(spark, sf_dir)
+    return ms.blend(tiles, shifted, SIZE, weight)
 
 
 def _blended_pixels(spark, sf_dir, weight="uniform"):
@@ -45,7 +45,7 @@ def _blended_pixels(spark, sf_dir, weight="uniform"):
 
 
 def _warped(spark, sf_dir, weight):
-    tiles, shifted, _ = _placed(spark, sf_dir)
+    tiles, shifted = _placed(spark, sf_dir)
     return ms.warp(ms.patches(tiles, shifted, SIZE), SIZE, weight).drop("strip_id")
 
 
@@ -67,7 +67,7 @@ def _shift(spark, sf_dir):
 
 
 def _assign(spark, sf_dir):
-    tiles, shifted, _ = _placed(spark, sf_dir)
+    tiles, shifted = _placed(spark, sf_dir)
     plain = tiles.drop("pixels").withColumnRenamed("h", "h0")
     return ms.assign_tiles(plain, shifted, SIZE).select("frame_idx", "tx", "ty", "cx", "cy")
 
@@ -286,6 +286,33 @@ def _mean(weight):
     return _ON_CANVAS + _MEAN.format(**{c: whole.format(c=c, w=weight) for c in "bgr"})
 
 
+# the largest region of the picture ``cell`` that is brighter than BRIGHT, with its holes filled
+CROP_BOX_SQL = """, dark AS (SELECT x, y FROM cell WHERE (b * 114 + g * 587 + r * 299 + 500) // 1000 <= 180),
+    outside AS (
+      SELECT x, y FROM dark, size
+      WHERE x = 0 OR y = 0 OR x = width - 1 OR y = height - 1
+      UNION
+      SELECT d.x, d.y
+      FROM (SELECT x + dx AS x, y + dy AS y FROM outside
+            CROSS JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) s(dx, dy)) o
+      JOIN dark d USING (x, y)),
+    inside AS (SELECT x, y FROM cell ANTI JOIN outside USING (x, y)),
+    step AS (SELECT unnest([-1, 0, 1]) AS d),
+    near AS (
+      SELECT a.x, a.y, b.x AS x2, b.y AS y2
+      FROM (SELECT x, y, p.d AS px, q.d AS py FROM inside CROSS JOIN step p CROSS JOIN step q) a
+      JOIN inside b ON b.x = a.x + px AND b.y = a.y + py),
+    spread AS (
+      SELECT x, y, y * 100 + x AS label FROM inside
+      UNION
+      SELECT x2, y2, label FROM spread JOIN near USING (x, y)
+      WHERE y2 * 100 + x2 > label),
+    region AS (
+      SELECT label, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) - min(x) + 1 AS w,
+             max(y) - min(y) + 1 AS h
+      FROM (SELECT x, y, min(label) AS label FROM spread GROUP BY 1, 2) GROUP BY label)
+    SELECT 0 AS strip_id, x0, y0, w, h, area FROM region ORDER BY area DESC, label LIMIT 1"""
+
 ORACLES = {
     "s1_scan_formats": f"""WITH {wl.NAMES_SQL} SELECT name FROM names
         WHERE lower(regexp_extract(name, '\\.[^.]+$')) IN
@@ -396,32 +423,7 @@ ORACLES = {
     "w8_blend_feather": _mean("CAST(feather AS BIGINT)"),
     "w9_grey": _SCENE
     + "SELECT x, y, CAST((b * 114 + g * 587 + r * 299 + 500) // 1000 AS INT) AS grey FROM cell",
-    "w10_crop_box": _SCENE
-    + """, dark AS (SELECT x, y FROM cell WHERE (b * 114 + g * 587 + r * 299 + 500) // 1000 <= 180),
-         outside AS (
-           SELECT x, y FROM dark, size
-           WHERE x = 0 OR y = 0 OR x = width - 1 OR y = height - 1
-           UNION
-           SELECT d.x, d.y
-           FROM (SELECT x + dx AS x, y + dy AS y FROM outside
-                 CROSS JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) s(dx, dy)) o
-           JOIN dark d USING (x, y)),
-         inside AS (SELECT x, y FROM cell ANTI JOIN outside USING (x, y)),
-         step AS (SELECT unnest([-1, 0, 1]) AS d),
-         near AS (
-           SELECT a.x, a.y, b.x AS x2, b.y AS y2
-           FROM (SELECT x, y, p.d AS px, q.d AS py FROM inside CROSS JOIN step p CROSS JOIN step q) a
-           JOIN inside b ON b.x = a.x + px AND b.y = a.y + py),
-         spread AS (
-           SELECT x, y, y * 100 + x AS label FROM inside
-           UNION
-           SELECT x2, y2, label FROM spread JOIN near USING (x, y)
-           WHERE y2 * 100 + x2 > label),
-         region AS (
-           SELECT label, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) - min(x) + 1 AS w,
-                  max(y) - min(y) + 1 AS h
-           FROM (SELECT x, y, min(label) AS label FROM spread GROUP BY 1, 2) GROUP BY label)
-         SELECT 0 AS strip_id, x0, y0, w, h, area FROM region ORDER BY area DESC, label LIMIT 1""",
+    "w10_crop_box": _SCENE + CROP_BOX_SQL,
     "w11_crop": _SCENE
     + """SELECT x - 10 AS x, CAST(y - height // 5 AS INT) AS y, b, g, r FROM cell CROSS JOIN size
          WHERE x >= 10 AND x < 70 AND y >= height // 5 AND y < height // 5 + height // 2""",

@@ -141,7 +141,7 @@ def _tilted(spark):
 def _laid_out(frames, poses, size, frame_tile, weight="uniform", **limits):
     canvases = ms.canvas(ms.footprints(frames, poses), **limits)
     tiles = im.to_tiles(frames, frame_tile, 1)
-    return ms.blend(tiles, ms.shift(poses, canvases), canvases, size, weight)
+    return ms.blend(tiles, ms.shift(poses, canvases), size, weight)
 
 
 @pytest.mark.parametrize("weight", ["uniform", "feather"])
@@ -259,7 +259,7 @@ def test_frames_that_cannot_be_laid_out_are_told(spark):
     canvases = ms.canvas(ms.footprints(frames, poses.where("frame_idx = 0")))
     status = {r.frame_idx: r.status for r in ms.pose_status(poses, canvases).collect()}
     assert status == {0: "ok", 1: "singular transform", 2: "no transform", 3: "singular transform"}
-    laid = ms.blend(im.to_tiles(frames, 16, 1), ms.shift(poses, canvases), canvases, 16)
+    laid = ms.blend(im.to_tiles(frames, 16, 1), ms.shift(poses, canvases), 16)
     assert picture(laid).shape[:2] == (20, 30)
 
 

@@ -60,6 +60,12 @@ def test_chain_equals_the_sequential_walk(spark, seed):
     owned = ch.chain(frames, found).orderBy("strip_id", "pos").collect()
     assert [(r.strip_id, r.frame_idx) for r in owned] == first
     assert len(owned) == n
+    owned = ch.chain(frames, found)
+    parts = ch.segments(owned, found)
+    assert parts.count() == len({s for s, _ in first})
+    asked = spark.createDataFrame([(walks[0].strip_id,), (walks[-1].strip_id,)], "strip_id int")
+    some = ch.full_walks(owned, parts, asked).orderBy("strip_id", "pos").collect()
+    assert some == [r for r in walks if r.strip_id in (walks[0].strip_id, walks[-1].strip_id)]
 
 
 def test_pairs_of_few_frames(spark):

@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from aeromosaic.operators import enhance as en
 from aeromosaic.operators import mosaic as ms
+from aeromosaic.operators import transform as tr
 from aeromosaic.sources import images as im
-from rasters import frames_table, ground, picture
+from rasters import frames_table, ground, mosaic_table, picture
 
 WIDE, HIGH, SIZE = 150, 110, 16
 POSES = {
@@ -59,11 +61,7 @@ def test_touched_tiles(spark, name):
 def test_a_frame_is_cut_at_the_horizon(spark):
     image = ground(45, 60)
     frames = frames_table(spark, [image])
-    canvases = spark.createDataFrame(
-        [(0, 0, 0, WIDE, HIGH, 1.0, 0, False)],
-        "strip_id int, x_min int, y_min int, width int, height int, scale double, est_bytes long, refused boolean",
-    )
-    laid = ms.blend(im.to_tiles(frames, 16, 1), shifted(spark, POSES["horizon"]), canvases, SIZE)
+    laid = ms.blend(im.to_tiles(frames, 16, 1), shifted(spark, POSES["horizon"]), SIZE)
     whole = picture(laid)
     x, y = covered(POSES["horizon"], 60, 45)
     mask = np.zeros((HIGH, WIDE), bool)
@@ -89,3 +87,94 @@ def test_canvases_that_do_not_fit_are_flagged(spark):
     )
     found = {r.strip_id: r.refused for r in ms.canvas(corners).collect()}
     assert found == {0: False, 1: True, 2: True, 3: True, 4: True}
+
+
+def test_tiles_no_frame_touches_have_no_row(spark):
+    """A slanted flight: the same pictures from touched tiles and blank rows as from the whole canvas."""
+    frames = frames_table(spark, [ground(40, 40, k) for k in range(3)])
+    poses = spark.createDataFrame(
+        [(0, k, k, [1.0, 0.0, 70.0 * k, 0.0, 1.0, 70.0 * k, 0.0, 0.0, 1.0]) for k in range(3)],
+        "strip_id int, pos int, frame_idx int, h array<double>",
+    )
+    canvases = ms.canvas(ms.footprints(frames, poses))
+    laid = ms.blend(im.to_tiles(frames, 16, 1), ms.shift(poses, canvases), 32).cache()
+    whole = ms.fill(laid, canvases, 32).cache()
+    places = {(r.tx, r.ty) for r in laid.collect()}
+    every = {(r.tx, r.ty): r.bgr is None for r in whole.collect()}
+    side = max(x for x, _ in every) + 1
+    assert len(every) == side * side and places == {p for p, blank in every.items() if not blank}
+    assert len(places) < len(every) / 2
+    image = picture(laid)
+    dense = mosaic_table(spark, image, 32)
+    (a,), (b,) = (ms.crop_box(m).collect() for m in (whole, dense))
+    assert a == b and a.area == 1600
+    box = spark.createDataFrame([(0, 5, 9, 150, 140, 1)], "strip_id int, x0 int, y0 int, w int, h int, area long")
+    sparse, full = (
+        en.variants(m, ms.crop(m, box), 3, 5).cache() for m in (whole, dense)
+    )
+    for name in ("uncropped", "cropped", "sharpened", "enhanced", "bilateral", "nlmeans", "gaussian", "smooth_combo"):
+        one, two = (picture(m.where(F.col("variant") == name)) for m in (sparse, full))
+        assert one.shape == two.shape and (one == two).all(), name
+    views = (sorted(map(tuple, ms.overview(m, 20).collect())) for m in (laid, dense))
+    seen, all_cells = (dict(((x, y), (b_, g, r)) for _, x, y, b_, g, r in v) for v in views)
+    assert all(np.allclose(seen.get(c, (0, 0, 0)), v) for c, v in all_cells.items())
+
+
+def test_crowded_tiles_are_added_in_parts(spark, monkeypatch):
+    frames = frames_table(spark, [ground(30, 40, k) for k in range(6)])
+    poses = spark.createDataFrame(
+        [(0, k, k, [1.0, 0.0, 3.5 * k, 0.0, 1.0, 1.25 * k, 0.0, 0.0, 1.0]) for k in range(6)],
+        "strip_id int, pos int, frame_idx int, h array<double>",
+    )
+    canvases = ms.canvas(ms.footprints(frames, poses))
+    tiles, shifts = im.to_tiles(frames, 16, 1), ms.shift(poses, canvases)
+    whole = picture(ms.blend(tiles, shifts, 32))
+    monkeypatch.setattr(ms, "CROWD", 8)
+    assert (picture(ms.blend(tiles, shifts, 32)) == whole).all() and whole.any()
+
+
+def test_a_hub_of_many_regions_has_one_root(spark):
+    rng = np.random.default_rng(1)
+    pairs = {(k, 0) for k in range(1, 300)} | {(900, k) for k in range(400, 700)}
+    pairs |= {tuple(sorted(p, reverse=True)) for p in rng.integers(1000, 1400, (250, 2)).tolist() if p[0] != p[1]}
+    edges = spark.createDataFrame([(0, u, v) for u, v in pairs], "strip_id int, u long, v long")
+    parent = {n: n for p in pairs for n in p}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for u, v in pairs:
+        a, b = root(u), root(v)
+        parent[max(a, b)] = min(a, b)
+    found = {r.region: r.root for r in ms.connected_roots(edges).collect()}
+    assert all(found.get(n, n) == root(n) for n in parent)
+
+
+@pytest.mark.parametrize("size", [(1, 1), (2, 9), (3, 5), (8, 17)])
+def test_contrast_of_small_pictures(spark, size):
+    image = ground(*size)
+    tables = en.clahe_tables(en.cell_histograms(mosaic_table(spark, image, 32)))
+    assert tables.count() == 8 * 8 * 256
+    assert picture(en.clahe(mosaic_table(spark, image, 32))).shape == image.shape
+
+
+def test_residuals_take_out_a_strip_s_own_frame(spark):
+    rng = np.random.default_rng(4)
+    true = rng.uniform(0, 900, (40, 2))
+    turn, scale = 0.3, 1.25
+    own = (true @ np.array([[np.cos(turn), -np.sin(turn)], [np.sin(turn), np.cos(turn)]]).T - [7, 30]) * scale
+    noise = rng.normal(0, 0.5, own.shape)
+    ddl = "strip_id int, frame_idx int, corner int, x double, y double"
+
+    def table(points):
+        return spark.createDataFrame([(3, k // 4, k % 4, *map(float, p)) for k, p in enumerate(points)], ddl)
+
+    (row,) = tr.pose_residuals(table(own), table(true)).collect()
+    assert row.n_points == 40 and row.rms < 1e-4  # sums of squares cancel to half their digits
+    assert abs(row.scale - 1 / scale) < 1e-9 and abs(row.angle + turn) < 1e-9
+    (row,) = tr.pose_residuals(table(own + noise), table(true)).collect()
+    a = np.array([[x, -y, 1, 0] for x, y in own + noise] + [[y, x, 0, 1] for x, y in own + noise])
+    least = np.linalg.lstsq(a, true.T.ravel(), rcond=None)[1][0]
+    assert abs(row.rms - np.sqrt(least / 40)) < 1e-6
