@@ -91,11 +91,20 @@ class _TileWriter(DataSourceWriter):
         _publish(system, posixpath.join(root, "manifests", name), lines.encode())
 
     def abort(self, messages):
-        """Nothing of the job was published; its folder goes."""
+        """Nothing of the job was published; its folder goes.
+
+        Tasks that have not been stopped yet may still write to it. What they keep from being
+        deleted is in no manifest, so no reader sees it.
+        """
         system, root = fs.FileSystem.from_uri(self.path)
         folder = posixpath.join(root, f"job-{self.job}")
-        if system.get_file_info(folder).type != fs.FileType.NotFound:
-            system.delete_dir(folder)
+        for wait in (0.2, 1, 5):
+            if system.get_file_info(folder).type == fs.FileType.NotFound:
+                return
+            try:
+                system.delete_dir(folder)
+            except OSError:
+                time.sleep(wait)
 
 
 class TileImages(DataSource):
