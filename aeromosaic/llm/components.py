@@ -3,27 +3,26 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeromosaic.functions.ordering import settle
+from aeromosaic.functions.ordering import settle, with_least
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the smallest node it knows."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    known = with_least(both, ["u"], "v", "m").where("v > u")
+    return known.select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node links itself and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v")))
+    ends = F.explode(F.array("v", "u")).alias("u")
+    return with_least(edges, ["u"], "v", "m").select(ends, F.col("m").alias("v")).where("u > v")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b) but the roots, the smallest of their component.
 
-    A node with many neighbours is only ever a key of partial minima and joins. Rounds end
+    A node with many neighbours is a key of partial minima, and in joins it is dealt by salts. Rounds end
     when every node has one parent and no parent has one, which is tested exactly.
     """
     edges = edges.where("a <> b").select(

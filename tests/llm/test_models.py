@@ -118,6 +118,15 @@ def test_simhash_query(shipped, given):
         assert got[i]["fingerprint"] == f"{p:016x}" and got[i]["component_id"] == c
 
 
+def test_a_hub_and_a_path_are_components(spark):
+    pairs = [(0, k) for k in range(1, 400)] + [(900 + k, 901 + k) for k in range(40)] + [(2000, 2000)]
+    pairs += [(5000, k) for k in range(3000, 3300)]
+    found = components.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    want = {k: 0 for k in range(1, 400)} | {901 + k: 900 for k in range(40)}
+    want |= {k: 3000 for k in (*range(3001, 3300), 5000)}
+    assert {r["node"]: r["root"] for r in found} == want and len(found) == len(want)
+
+
 def test_simhash_of_odd_rows(odd, nothing):
     got = sorted((repr(r["doc_id"]), r["component_id"]) for r in simhash.near_duplicates(odd).collect())
     want = plain_components([plain_print(t) for _, t, _ in ODD], [i for i, _, _ in ODD])
