@@ -316,21 +316,35 @@ def mixed(
     )
 
 
+def _level(scored: DataFrame, targets: dict[str, float | None], rates: list[float]) -> float:
+    """The mean rate of the tokens of wanted domains, every document counted whole for its own."""
+    tokens, p = F.col("n_tokens").cast("double"), [F.col(f"p_{k}") for k in range(len(DOMAINS))]
+    held = scored.agg(*[F.sum(tokens * x) for x in memberships(p, targets)]).first()
+    wanted = [(n or 0.0, r) for d, n, r in zip(DOMAINS, held, rates, strict=True) if targets.get(d) != 0.0]
+    total = sum(n for n, _ in wanted)
+    if total:
+        return sum(n * r for n, r in wanted) / total
+    return sum(r for _, r in wanted) / len(wanted) if wanted else 1.0
+
+
 def wanted_documents(
     docs: DataFrame, labels: DataFrame, targets: dict[str, float | None] = NATURAL, sample: int = SAMPLE
 ) -> DataFrame:
-    """The documents whose rate is half a copy or more, once each, with their own columns.
+    """The documents worth at least half as much as wanted text is, once each, with their own columns.
 
-    Rates are solved for full memberships, so that which side of the cut a document is on follows from its
-    own posteriors and the targets, not from how much unwanted text the other documents hold.
+    The rates of the three pure texts are solved on the posteriors of all documents; a document is worth their
+    mean under its own posteriors. So text of a domain that is short of its target stays with more that is
+    unwanted beside it than text of which there is plenty. A pure text's rate is never negative, and the
+    cut is relative to the mean rate of wanted text: how much unwanted text the other documents hold
+    moves the rates of all wanted domains, but not by itself the side that a document is on.
     """
     rows = wrapped(docs, "doc_id", "text")
     scored = settle(posteriors(rows, rows.columns, fit(rows, labels, sample)))
-    p = [F.col(f"__p_{k}") for k in range(len(DOMAINS))]
-    one = memberships(p, targets)
-    numbers = scored.select(F.col("__n_tokens").alias("n_tokens"), *[x.alias(f"p_{k}") for k, x in enumerate(one)])
-    rate = _rate(one, _steps(numbers, targets))
-    return unwrapped(scored.where(rate >= 0.5).select(*rows.columns), docs.columns)
+    numbers = settle(_named(scored, []))  # few small files, read once a step
+    rates = [max(0.0, 1.0 - x) for x in _steps(numbers, targets)]
+    worth = sum((F.col(f"__p_{k}") * F.lit(r) for k, r in enumerate(rates)), F.lit(0.0))
+    kept = scored.where(worth >= 0.5 * _level(numbers, targets, rates))
+    return unwrapped(kept.select(*rows.columns), docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose own posteriors are worth at least half a copy when no toxic tokens are wanted."""
+    """Documents that are worth half of wanted text or more by the rates solved for no toxic tokens."""
     return mixing.wanted_documents(docs, table(spark, sf_dir, "labels"))
 
 

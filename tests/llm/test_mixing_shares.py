@@ -52,3 +52,58 @@ def test_rates_that_do_not_converge_are_told(shipped, monkeypatch):
     scored = shipped.createDataFrame([(9, 0.1, 0.2, 0.7), (9, 0.8, 0.2, 0.0)], "n_tokens long, p_0 double, p_1 double, p_2 double")
     with pytest.warns(UserWarning, match="relative residuals"):
         assert mixing.solve(scored, mixing.TARGETS).count() == 2
+
+
+def _planted(docs, keep, model):
+    """Posteriors that the texts tell: tokens and the three of them."""
+    part = mixing.F.split("text", " ")
+    made = [part[k + 1].cast("double").alias(f"__p_{k}") for k in range(3)]
+    return docs.select(*keep, part[0].cast("long").alias("__n_tokens"), *made)
+
+
+NEAR_HIGH, NEAR_LOW, PURE = 900, 901, 902
+
+
+@pytest.mark.parametrize("overlap", [0, 1])
+@pytest.mark.parametrize("targets", [mixing.NATURAL, {"high": 0.85, "low": 0.15, "toxic": 0.0}, {"high": 0.15, "low": 0.85, "toxic": 0.0}])
+def test_solved_rates_decide_which_documents_stay(shipped, monkeypatch, overlap, targets):
+    rng = np.random.default_rng(7)
+    alpha = np.array([4.0, 4.0, 0.4])
+    p = rng.dirichlet(alpha, 900)
+    # unwanted text stands beside one of the wanted domains
+    p[:300] = rng.dirichlet(np.array([6.0, 0.2, 5.0])[[overlap, 1 - overlap, 2]], 300)
+    p = np.vstack([p, [0.46, 0.02, 0.52], [0.02, 0.46, 0.52], np.eye(3)])
+    n = rng.integers(50, 2000, len(p))
+    rows = [(k, " ".join([str(a), *map(repr, map(float, b))]), "en") for k, (a, b) in enumerate(zip(n, p, strict=True))]
+    monkeypatch.setattr(mixing, "fit", lambda *_: None)
+    monkeypatch.setattr(mixing, "posteriors", _planted)
+    labels = shipped.createDataFrame([], "doc_id long, quality int, toxic int")
+    found = mixing.wanted_documents(documents(shipped, rows), labels, targets)
+    kept = {r["doc_id"] for r in found.select("doc_id").collect()}
+
+    # the same problem by many plain steps; the last three documents are pure, so their rates are the domains'
+    share = n @ p / n.sum()
+    wanted = share[:2].sum() * np.array(mixing.shares(targets, list(share)))
+    r = ahead = np.ones(len(n))
+    for k in range(6000):
+        left = ((n * ahead) @ p / n.sum() - wanted) / share
+        new = np.maximum(0, ahead - (p @ left + mixing.PULL * (ahead - 1)) / (1 + mixing.PULL))
+        ahead, r = new + (k / (k + 3) if k % 200 else 0) * (new - r), new
+    mine = np.where(p[:, 2] > 0.5, 2, np.where(p[:, 1] > p[:, 0], 1, 0))
+    whole = np.array([n[mine == k].sum() for k in (0, 1)])
+    least = 0.5 * whole @ r[PURE : PURE + 2] / whole.sum()
+    worth = p @ r[PURE:]
+    sure = np.abs(worth - least) > 1e-3
+    assert sure.sum() > 880
+    assert {k for k in np.flatnonzero(sure & (worth > least))} == {k for k in kept if sure[k]}
+    # of two documents as unwanted as each other, the one of the domain that is short may stay
+    short = NEAR_HIGH if r[PURE] > r[PURE + 1] else NEAR_LOW
+    assert short in kept and NEAR_HIGH + NEAR_LOW - short not in kept and PURE + 2 not in kept
+
+
+def test_no_wanted_domain_or_no_tokens(shipped):
+    labels = shipped.createDataFrame([], "doc_id long, quality int, toxic int")
+    docs = documents(shipped, [(1, "some words", "en"), (2, None, "en")])
+    assert mixing.wanted_documents(docs, labels).count() == 2
+    assert mixing.wanted_documents(docs, labels, dict.fromkeys(mixing.DOMAINS, 0.0)).count() == 0
+    assert mixing.wanted_documents(docs.where("doc_id = 2"), labels).count() == 1
