@@ -84,15 +84,12 @@ def _padded(rows: list[dict], r: int):
     return own, np.pad(whole, sides, mode="reflect")
 
 
-def stencil_tried(mosaic: DataFrame, r: int, steps: dict) -> DataFrame:
-    """Apply filters that look r pixels around; one halo exchange for all of them.
+def _item(row):
+    return "/".join(str(row[c]) for c in ("strip_id", "ty", "tx"))
 
-    ``steps`` names functions from a padded image (r extra pixels per side, more
-    than a function needs are cut off) to the inside. Result rows carry the name
-    in ``variant``. Full tiles must be at least r wide. A filter that fails leaves
-    the tile as it was and says so in ``failed``. A tile of null pixels is black; it stays null
-    where all around it are.
-    """
+
+def _filtered(mosaic, r, steps, kept):
+    """Group function over the pieces of all tiles; a filter's failure is a row if ``kept``, else it is raised."""
     schema = pa.schema([*_MOSAIC, ("variant", pa.string()), FAILED_FIELD])
 
     def run(table: pa.Table) -> pa.Table:
@@ -107,16 +104,15 @@ def stencil_tried(mosaic: DataFrame, r: int, steps: dict) -> DataFrame:
         for name, (need, function) in steps.items():
             spare = r - need
             inner = image[spare : image.shape[0] - spare, spare : image.shape[1] - spare]
-            failed = None
+            step = f"filter {name}".strip()
             try:
                 result = function(inner)
             except Exception as problem:
-                result = image[r : r + own["h"], r : r + own["w"]]
-                item = "/".join(str(own[c]) for c in ("strip_id", "ty", "tx"))
-                failed = failure(f"filter {name}".strip(), item, problem)
-            done.append(
-                {**place, "bgr": result.tobytes(), "covered": covered, "variant": name, "failed": failed}
-            )
+                if not kept:
+                    raise RuntimeError(f"{step}, tile {_item(own)}: {problem}") from problem
+                done.append({**place, "variant": name, "failed": failure(step, _item(own), problem)})
+                continue
+            done.append({**place, "bgr": result.tobytes(), "covered": covered, "variant": name})
         return pa.Table.from_pylist(done, schema=schema)
 
     pieces = mosaic.mapInArrow(per_row(_pieces(r), _PIECE), _PIECE_DDL)
@@ -125,9 +121,21 @@ def stencil_tried(mosaic: DataFrame, r: int, steps: dict) -> DataFrame:
     )
 
 
+def stencil_tried(mosaic: DataFrame, r: int, steps: dict) -> DataFrame:
+    """Apply filters that look r pixels around; one halo exchange for all of them.
+
+    ``steps`` names functions from a padded image (r extra pixels per side, more
+    than a function needs are cut off) to the inside. Result rows carry the name
+    in ``variant``. Full tiles must be at least r wide. A tile that a filter fails on has a row
+    without pixels that says so in ``failed``: it is no picture, and not a blank one either.
+    A tile of null pixels is black; it stays null where all around it are.
+    """
+    return _filtered(mosaic, r, steps, True)
+
+
 def stencil(mosaic: DataFrame, r: int, steps: dict) -> DataFrame:
-    """The pictures of ``stencil_tried``."""
-    return stencil_tried(mosaic, r, steps).drop("failed")
+    """The pictures of ``stencil_tried``, all of them: a filter that fails on a tile ends the job."""
+    return _filtered(mosaic, r, steps, False).drop("failed")
 
 
 def _one(mosaic, need, function):
@@ -148,10 +156,14 @@ def _inside(image, r):
     return image[r : image.shape[0] - r, r : image.shape[1] - r]
 
 
+def _sharpener(sigma=3.0):
+    r, blur = _blur(0, sigma)
+    return r, lambda image: filters.unsharp(_inside(image, r), blur(image))
+
+
 def unsharp(mosaic: DataFrame, sigma: float = 3.0) -> DataFrame:
     """1.5 times the image minus half its blur."""
-    r, blur = _blur(0, sigma)
-    return _one(mosaic, r, lambda image: filters.unsharp(_inside(image, r), blur(image)))
+    return _one(mosaic, *_sharpener(sigma))
 
 
 def bilateral(mosaic: DataFrame, d: int = 9, sigma_color=75.0, sigma_space=75.0) -> DataFrame:
@@ -341,33 +353,62 @@ def enhanced(cropped: DataFrame) -> DataFrame:
     )
 
 
-def _smoothed_tried(uncropped, template, search):
+def enhanced_tried(cropped: DataFrame) -> DataFrame:
+    """``enhanced`` with a column ``failed``, see ``stencil_tried``.
+
+    Contrast tables are those of a whole strip: one that lacks a sharpened tile has no picture with
+    contrast, and all its tiles say so.
+    """
+    need, function = _sharpener()
+    sharp = settle(stencil_tried(cropped, need, {"sharpened": (need, function)}))
+    broken = settle(sharp.where("failed is not null").select("strip_id").distinct())
+    whole = sharp.join(F.broadcast(broken), "strip_id", "left_anti")
+    lacking = sharp.join(F.broadcast(broken), "strip_id", "left_semi").select(
+        *_TILE, *_PLACE, F.lit("enhanced").alias("variant"),
+        F.struct(
+            F.lit("filter enhanced").alias("step"),
+            F.concat_ws("/", "strip_id", "ty", "tx").alias("item"),
+            F.lit("ValueError: the strip has tiles that were not sharpened").alias("error"),
+        ).alias("failed"),
+    )
+    contrast = clahe(whole).withColumn("variant", F.lit("enhanced"))
+    return sharp.unionByName(contrast, allowMissingColumns=True).unionByName(lacking, allowMissingColumns=True)
+
+
+def _smoothing(template, search):
     steps = _smoothers(template, search)
-    return stencil_tried(uncropped, max(need for need, _ in steps.values()), steps)
+    return max(need for need, _ in steps.values()), steps
 
 
 def smoothed(uncropped: DataFrame, template: int = 7, search: int = 21) -> DataFrame:
     """The four smoothing variants, all from one halo exchange."""
-    return _smoothed_tried(uncropped, template, search).drop("failed")
+    return stencil(uncropped, *_smoothing(template, search))
+
+
+def _all_variants(uncropped, cropped, *made):
+    """The pictures as they are and those made of them; rows of neither pixels nor a failure are blank tiles."""
+    every = uncropped.withColumn("variant", F.lit("uncropped")).unionByName(
+        cropped.withColumn("variant", F.lit("cropped"))
+    )
+    for rows in made:
+        every = every.unionByName(rows, allowMissingColumns=True)
+    return every
 
 
 def variants_tried(uncropped: DataFrame, cropped: DataFrame, template: int = 7, search: int = 21) -> DataFrame:
-    """``variants`` with a column ``failed`` on tiles that a smoothing filter left as they were.
+    """``variants`` with a column ``failed``, set in rows without pixels: tiles that a filter failed on.
 
     Blank tiles of both pictures are wanted as rows of null pixels and not given back as such.
     """
-    whole = (
-        uncropped.withColumn("variant", F.lit("uncropped"))
-        .unionByName(cropped.withColumn("variant", F.lit("cropped")))
-        .unionByName(enhanced(cropped))
-    )
-    every = whole.unionByName(_smoothed_tried(uncropped, template, search), allowMissingColumns=True)
-    return every.where(F.col("bgr").isNotNull())
+    smooth = stencil_tried(uncropped, *_smoothing(template, search))
+    every = _all_variants(uncropped, cropped, enhanced_tried(cropped), smooth)
+    return every.where(F.col("bgr").isNotNull() | F.col("failed").isNotNull())
 
 
 def variants(uncropped: DataFrame, cropped: DataFrame, template: int = 7, search: int = 21) -> DataFrame:
     """Every output picture in one table, told apart by ``variant``.
 
-    ``template`` and ``search`` are the sizes of non-local means.
+    ``template`` and ``search`` are the sizes of non-local means. A filter that fails on a tile ends the job.
     """
-    return variants_tried(uncropped, cropped, template, search).drop("failed")
+    smooth = smoothed(uncropped, template, search)
+    return _all_variants(uncropped, cropped, enhanced(cropped), smooth).where(F.col("bgr").isNotNull())
